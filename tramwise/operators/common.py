@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.stats import minutes, rounded_mean
 from ..sources.tables import Tables
 
-DURATION = minutes("avg_travel_time")
-DELAY = F.col("delay_minutes")
-PASSENGERS = F.col("passenger_count")
-PEAK = F.col("is_peak_hour")
+
+def ride_minutes() -> Column:
+    return minutes("avg_travel_time")
+
+
+def delay() -> Column:
+    return F.col("delay_minutes")
+
+
+def passengers() -> Column:
+    return F.col("passenger_count")
+
+
+def in_peak() -> Column:
+    return F.col("is_peak_hour")
 
 
 def with_station_names(t: Tables, routes: DataFrame, zones: bool = False) -> DataFrame:
@@ -42,8 +53,8 @@ def route_identity(t: Tables, *more: str) -> DataFrame:
 def route_means(logs: DataFrame) -> DataFrame:
     """Mean ride time and delay of every route that has logs."""
     return logs.groupBy("route_id").agg(
-        rounded_mean(DURATION).alias("avg_travel_time_min"),
-        rounded_mean(DELAY).alias("avg_delay_min"),
+        rounded_mean(ride_minutes()).alias("avg_travel_time_min"),
+        rounded_mean(delay()).alias("avg_delay_min"),
     )
 
 

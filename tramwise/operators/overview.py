@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import ordered
-from ..functions.stats import count_rows, mean
+from ..functions.stats import count_rows, mean, ratio
 from ..sources.tables import Tables
 from .routes import all_routes
 
@@ -31,27 +31,31 @@ def routes_by_type(t: Tables) -> DataFrame:
 
 @ordered("bin")
 def fare_histogram(t: Tables, bins: int = 20) -> DataFrame:
-    """Listed routes per fare band: ``bins`` bands of equal width, empty ones left out.
+    """Listed routes per fare band: ``bins`` bands of equal width.
 
-    A fare on the upper edge belongs to the last band; if all fares are equal
-    there is one band.
+    Empty bands are left out. A fare on the upper edge belongs to the last
+    band; if all fares are equal there is one band. Bands are found in whole
+    cents, so a fare on an edge never slips into the band below.
     """
-    fares = all_routes(t, sort=False).select(F.col("base_fare").cast("double").alias("fare"))
-    lowest, highest = fares.agg(F.min("fare")).scalar(), fares.agg(F.max("fare")).scalar()
-    known = fares.filter(F.col("fare").isNotNull()).select(
-        "fare", lowest.alias("lowest"), ((highest - lowest) / bins).alias("width")
+    listed = all_routes(t, sort=False).filter(F.col("base_fare").isNotNull())
+    cents = listed.select((F.col("base_fare") * 100).cast("bigint").alias("cents"))
+    lowest = cents.agg(F.min("cents")).scalar()
+    span = cents.agg(F.max("cents") - F.min("cents")).scalar()
+    place = ratio((F.col("cents") - F.col("lowest")) * bins, F.col("span"))
+    band = F.least(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(bins - 1))
+    counted = (
+        cents.select("cents", lowest.alias("lowest"), span.alias("span"))
+        .groupBy(band.cast("int").alias("bin"), "lowest", "span")
+        .agg(count_rows().alias("n"))
     )
-    offset = F.try_divide(F.col("fare") - F.col("lowest"), F.col("width"))
-    # The tiny lift keeps fares that sit on an edge in the band above it.
-    band = F.least(F.floor(offset + 1e-9), F.lit(bins - 1).cast("bigint"))
-    counted = known.groupBy(
-        F.coalesce(band, F.lit(0)).cast("int").alias("bin"), "lowest", "width"
-    ).agg(count_rows().alias("n"))
-    edge = F.col("lowest") + F.col("bin") * F.col("width")
+
+    def edge(number) -> Column:
+        return ratio(F.col("lowest") * bins + number * F.col("span"), F.lit(bins * 100))
+
     return counted.select(
         "bin",
-        F.round(edge, 6).alias("lo"),
-        F.round(edge + F.col("width"), 6).alias("hi"),
+        edge(F.col("bin")).alias("lo"),
+        edge(F.col("bin") + 1).alias("hi"),
         "n",
     )
 

@@ -24,10 +24,10 @@ from ..functions.stats import (
 )
 from ..sources.tables import Tables
 from .common import (
-    DELAY,
-    DURATION,
-    PASSENGERS,
-    PEAK,
+    delay,
+    ride_minutes,
+    passengers,
+    in_peak,
     equals,
     only,
     route_identity,
@@ -44,12 +44,12 @@ def route_stats(t: Tables, route_id: int | None = None) -> DataFrame:
         .groupBy("route_id")
         .agg(
             F.count_distinct("log_date").alias("days_tracked"),
-            rounded_mean(DURATION).alias("avg_duration_min"),
-            rounded_mean(DELAY).alias("avg_delay_min"),
-            rounded_mean_if(PEAK, DELAY).alias("peak_delay_min"),
-            rounded_mean_if(~PEAK, DELAY).alias("offpeak_delay_min"),
-            F.max(DELAY).alias("max_delay_min"),
-            mean(PASSENGERS).alias("load"),
+            rounded_mean(ride_minutes()).alias("avg_duration_min"),
+            rounded_mean(delay()).alias("avg_delay_min"),
+            rounded_mean_if(in_peak(), delay()).alias("peak_delay_min"),
+            rounded_mean_if(~in_peak(), delay()).alias("offpeak_delay_min"),
+            F.max(delay()).alias("max_delay_min"),
+            mean(passengers()).alias("load"),
         )
     )
     routes = only(route_identity(t, "distance_km", "max_capacity"), wanted)
@@ -86,9 +86,9 @@ def travel_time_trends(
         only(recent, equals("route_id", route_id))
         .groupBy(*keys)
         .agg(
-            rounded_mean(DURATION).alias("avg_duration"),
-            rounded_mean(DELAY).alias("avg_delay"),
-            rounded_mean(PASSENGERS).alias("avg_passengers"),
+            rounded_mean(ride_minutes()).alias("avg_duration"),
+            rounded_mean(delay()).alias("avg_delay"),
+            rounded_mean(passengers()).alias("avg_passengers"),
             count_rows().alias("trip_count"),
         )
     )
@@ -102,8 +102,8 @@ def peak_vs_offpeak(t: Tables) -> DataFrame:
     Logs are summed per route id first; the exact sums of routes that share a
     name are then added up.
     """
-    halves = {"peak": PEAK, "offpeak": ~PEAK}
-    values = {"duration": DURATION, "delay": DELAY, "passengers": PASSENGERS}
+    halves = {"peak": in_peak(), "offpeak": ~in_peak()}
+    values = {"duration": ride_minutes(), "delay": delay(), "passengers": passengers()}
     cells = [
         (f"{half}_{what}", F.when(condition, value))
         for what, value in values.items()
@@ -133,9 +133,9 @@ def weather_impact(t: Tables, route_id: int | None = None) -> DataFrame:
         .groupBy("weather_condition")
         .agg(
             count_rows().alias("trip_count"),
-            rounded_mean(DURATION).alias("avg_duration"),
-            rounded_mean(DELAY).alias("avg_delay"),
-            F.max(DELAY).alias("max_delay"),
+            rounded_mean(ride_minutes()).alias("avg_duration"),
+            rounded_mean(delay()).alias("avg_delay"),
+            F.max(delay()).alias("max_delay"),
         )
     )
 
@@ -200,12 +200,12 @@ def route_performance_export(t: Tables, sort: bool = True) -> DataFrame:
         "avg_travel_time",
         "delay_minutes",
         "passenger_count",
-        share_of_capacity(PASSENGERS, F.col("max_capacity")).alias(
+        share_of_capacity(passengers(), F.col("max_capacity")).alias(
             "capacity_utilization_percent"
         ),
         "weather_condition",
         "is_peak_hour",
-        delay_category(DELAY).alias("delay_category"),
+        delay_category(delay()).alias("delay_category"),
         "service_status",
         "service_delay_minutes",
         "service_issue_reason",
@@ -222,25 +222,25 @@ def route_summary(t: Tables) -> DataFrame:
     """
     measures = t.travel_time_logs.groupBy("route_id").agg(
         F.count_distinct("log_date").alias("days_with_data"),
-        rounded_mean(DURATION).alias("avg_duration_min"),
+        rounded_mean(ride_minutes()).alias("avg_duration_min"),
         rounded_mean(minutes("scheduled_duration_minutes")).alias(
             "scheduled_duration_min"
         ),
-        rounded_mean(DELAY).alias("avg_delay_min"),
-        rounded_deviation(DELAY).alias("delay_std_dev"),
-        F.max(DELAY).alias("max_delay_min"),
-        F.min(DELAY).alias("min_delay_min"),
-        mean(PASSENGERS).alias("load"),
-        F.max(PASSENGERS).alias("max_passengers"),
-        F.count_if(PEAK).alias("n_peak"),
-        F.count_if(~PEAK).alias("n_offpeak"),
+        rounded_mean(delay()).alias("avg_delay_min"),
+        rounded_deviation(delay()).alias("delay_std_dev"),
+        F.max(delay()).alias("max_delay_min"),
+        F.min(delay()).alias("min_delay_min"),
+        mean(passengers()).alias("load"),
+        F.max(passengers()).alias("max_passengers"),
+        F.count_if(in_peak()).alias("n_peak"),
+        F.count_if(~in_peak()).alias("n_offpeak"),
     )
     capacity = t.routes.select("route_id", "max_capacity")
     crowded = (
         t.travel_time_logs.groupBy("route_id", "passenger_count")
         .agg(count_rows().alias("n"))
         .join(capacity, "route_id")
-        .filter(PASSENGERS.cast("bigint") * 10 >= F.col("max_capacity") * 9)
+        .filter(passengers().cast("bigint") * 10 >= F.col("max_capacity") * 9)
         .groupBy("route_id")
         .agg(F.sum("n").alias("n_crowded"))
     )
@@ -289,14 +289,14 @@ def daily_metrics(t: Tables, modal_weather: bool = False) -> DataFrame:
     extra = [F.mode("weather_condition", True).alias("modal_weather")]
     measures = t.travel_time_logs.groupBy("log_date", "route_id").agg(
         count_rows().alias("total_trips"),
-        F.count_if(PEAK).alias("peak_trips"),
-        rounded_mean(DURATION).alias("avg_duration"),
-        rounded_mean(DELAY).alias("avg_delay"),
-        rounded_mean_if(PEAK, DELAY).alias("peak_delay"),
-        rounded_mean_if(~PEAK, DELAY).alias("offpeak_delay"),
-        rounded_mean(PASSENGERS).alias("avg_passengers"),
-        F.max(PASSENGERS).alias("max_passengers"),
-        F.sum(PASSENGERS).alias("total_passengers"),
+        F.count_if(in_peak()).alias("peak_trips"),
+        rounded_mean(ride_minutes()).alias("avg_duration"),
+        rounded_mean(delay()).alias("avg_delay"),
+        rounded_mean_if(in_peak(), delay()).alias("peak_delay"),
+        rounded_mean_if(~in_peak(), delay()).alias("offpeak_delay"),
+        rounded_mean(passengers()).alias("avg_passengers"),
+        F.max(passengers()).alias("max_passengers"),
+        F.sum(passengers()).alias("total_passengers"),
         F.max("weather_condition").alias("predominant_weather"),
         *(extra if modal_weather else []),
     )
@@ -326,9 +326,9 @@ def hourly_patterns(t: Tables) -> DataFrame:
         )
         .agg(
             count_rows().alias("trip_count"),
-            rounded_mean(DURATION).alias("avg_duration"),
-            rounded_mean(DELAY).alias("avg_delay"),
-            mean(PASSENGERS).alias("load"),
+            rounded_mean(ride_minutes()).alias("avg_duration"),
+            rounded_mean(delay()).alias("avg_delay"),
+            mean(passengers()).alias("load"),
         )
     )
     return measures.join(route_identity(t, "max_capacity"), "route_id").select(
@@ -355,11 +355,11 @@ def weather_by_route(t: Tables) -> DataFrame:
         .groupBy("route_id", "weather_condition")
         .agg(
             count_rows().alias("trip_count"),
-            rounded_mean(DURATION).alias("avg_duration"),
-            rounded_mean(DELAY).alias("avg_delay"),
-            rounded_deviation(DELAY).alias("delay_std_dev"),
-            F.max(DELAY).alias("max_delay"),
-            rounded_mean(PASSENGERS).alias("avg_passengers"),
+            rounded_mean(ride_minutes()).alias("avg_duration"),
+            rounded_mean(delay()).alias("avg_delay"),
+            rounded_deviation(delay()).alias("delay_std_dev"),
+            F.max(delay()).alias("max_delay"),
+            rounded_mean(passengers()).alias("avg_passengers"),
         )
     )
     names = [c for c in measures.columns if c != "route_id"]

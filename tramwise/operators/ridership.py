@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import in_hours, is_weekend
@@ -13,7 +13,9 @@ from ..schema import IMPORT_PEAK_HOURS
 from ..sources.tables import Tables
 from .common import route_identity
 
-FARE = F.col("fare_paid")
+
+def fare() -> Column:
+    return F.col("fare_paid")
 
 
 @ordered("-trip_date")
@@ -22,8 +24,8 @@ def daily_ridership(t: Tables) -> DataFrame:
     return t.trips.groupBy("trip_date").agg(
         count_rows().alias("total_trips"),
         F.count_distinct("card_id").alias("unique_riders"),
-        F.sum(FARE).alias("total_revenue"),
-        mean(FARE).alias("avg_fare"),
+        F.sum(fare()).alias("total_revenue"),
+        mean(fare()).alias("avg_fare"),
     )
 
 
@@ -32,8 +34,8 @@ def route_performance(t: Tables) -> DataFrame:
     """Trips, revenue and riders per route, idle routes included."""
     ridden = t.trips.groupBy("route_id").agg(
         count_rows().alias("n_trips"),
-        F.sum(FARE).alias("total_revenue"),
-        mean(FARE).alias("avg_fare"),
+        F.sum(fare()).alias("total_revenue"),
+        mean(fare()).alias("avg_fare"),
         F.count_distinct("card_id").alias("n_riders"),
     )
     return (
@@ -55,7 +57,7 @@ def route_performance(t: Tables) -> DataFrame:
 def card_type_usage(t: Tables) -> DataFrame:
     """Cards, trips and revenue per card type; unused cards count as cards."""
     per_card = t.trips.groupBy("card_id").agg(
-        count_rows().alias("n_trips"), F.sum(FARE).alias("revenue")
+        count_rows().alias("n_trips"), F.sum(fare()).alias("revenue")
     )
     return (
         t.fare_cards.select("card_id", "card_type")
@@ -74,7 +76,7 @@ def peak_hour_analysis(t: Tables) -> DataFrame:
     """Trips, mean fare and distinct riders per hour of tap-in."""
     return t.trips.groupBy(F.hour("tap_in_time").alias("hour")).agg(
         count_rows().alias("trip_count"),
-        mean(FARE).alias("avg_fare"),
+        mean(fare()).alias("avg_fare"),
         F.count_distinct("card_id").alias("unique_riders"),
     )
 

@@ -15,8 +15,8 @@ from ..functions.stats import at_least_one, count_rows, mean, or_zero, rounded
 from ..schema import TRANSFER_MINUTES
 from ..sources.tables import Tables
 from .common import (
-    DELAY,
-    DURATION,
+    delay,
+    ride_minutes,
     accessible_only,
     equals,
     only,
@@ -96,8 +96,8 @@ def route_by_stations(
         equals("end_station", end),
     )
     measured = t.travel_time_logs.groupBy("route_id").agg(
-        mean(DURATION).alias("mean_time"),
-        mean(DELAY).alias("mean_delay"),
+        mean(ride_minutes()).alias("mean_time"),
+        mean(delay()).alias("mean_delay"),
         count_rows().alias("n_logs"),
     )
     recent = t.service_availability.filter(

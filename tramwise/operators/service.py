@@ -14,9 +14,11 @@ from ..functions.order import falling, ordered
 from ..functions.stats import count_rows, ratio, rounded, rounded_mean_if
 from ..schema import SERVICE_STATES
 from ..sources.tables import Tables
-from .common import DELAY, route_identity, top_per_group
+from .common import delay, route_identity, top_per_group
 
-OPERATIONAL = F.col("is_operational")
+
+def operational() -> Column:
+    return F.col("is_operational")
 
 
 def latest_checks(checks: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def latest_checks(checks: DataFrame) -> DataFrame:
 
 
 def with_state(frame: DataFrame) -> DataFrame:
-    state = service_state(F.col("reason"), OPERATIONAL, DELAY)
+    state = service_state(F.col("reason"), operational(), delay())
     return frame.withColumn("status", state)
 
 
@@ -50,8 +52,8 @@ def current_service_status(t: Tables) -> DataFrame:
             "route_id",
             "route_name",
             "transport_type",
-            F.coalesce(OPERATIONAL, F.lit(True)).alias("is_operational"),
-            F.coalesce(DELAY, F.lit(0)).alias("delay_minutes"),
+            F.coalesce(operational(), F.lit(True)).alias("is_operational"),
+            F.coalesce(delay(), F.lit(0)).alias("delay_minutes"),
             F.coalesce("reason", F.lit(NORMAL_SERVICE)).alias("reason"),
             "check_time",
         )
@@ -84,7 +86,7 @@ def status_board(t: Tables, states: Iterable[str] | None = None) -> DataFrame:
         F.col("route_name").alias("Route"),
         F.col("transport_type").alias("Type"),
         F.col("status").alias("Status"),
-        F.coalesce(DELAY, F.lit(0)).cast("int").alias("Delay (min)"),
+        F.coalesce(delay(), F.lit(0)).cast("int").alias("Delay (min)"),
         F.col("reason").alias("Reason"),
     )
 
@@ -97,16 +99,16 @@ def service_reliability(
 
     A failed check with a delay counts as delayed, one without as cancelled.
     """
-    late = ~OPERATIONAL & (DELAY > 0)
+    late = ~operational() & (delay() > 0)
     recent = t.service_availability.filter(
         F.col("check_time") >= first_instant(as_of, days)
     )
     counts = recent.groupBy("route_id").agg(
         count_rows().alias("total_checks"),
-        F.count_if(OPERATIONAL).alias("active_count"),
+        F.count_if(operational()).alias("active_count"),
         F.count_if(late).alias("delayed_count"),
-        F.count_if(~OPERATIONAL & (DELAY == 0)).alias("cancelled_count"),
-        rounded_mean_if(late, DELAY).alias("avg_delay_when_delayed"),
+        F.count_if(~operational() & (delay() == 0)).alias("cancelled_count"),
+        rounded_mean_if(late, delay()).alias("avg_delay_when_delayed"),
     )
     return route_identity(t).join(counts, "route_id").select(
         "route_id",
