@@ -446,7 +446,7 @@ STATEMENTS = {
         and extract(hour from m.at) = l.log_hour""",
     "route_summary": f"""
     with measured as (
-        select route_id, count(distinct log_date) days, {mean('ride')} ride,
+        select route_id, count(distinct log_date) n_days, {mean('ride')} ride,
                {mean('planned')} planned, {mean('delay')} delay,
                {r2('stddev_samp(delay)')} spread, max(delay) worst, min(delay) best,
                avg(passengers) load, max(passengers) fullest,
@@ -456,7 +456,7 @@ STATEMENTS = {
     select route_id, route_name, transport_type, start_station, end_station,
            a.zone_name start_zone, b.zone_name end_zone,
            cast(distance_km as double) distance_km, cast(base_fare as double) base_fare,
-           max_capacity, wheelchair_accessible, coalesce(days, 0) days_with_data,
+           max_capacity, wheelchair_accessible, coalesce(n_days, 0) days_with_data,
            ride avg_duration_min, planned scheduled_duration_min, delay avg_delay_min,
            spread delay_std_dev, worst max_delay_min, best min_delay_min,
            {r2('load')} avg_passengers,
@@ -583,12 +583,13 @@ STATEMENTS = {
     "where transport_type is not null group by 1",
     "fare_histogram": """
     with cents as (select cast(base_fare * 100 as bigint) c from named_routes),
-         span as (select min(c) lo, max(c) - min(c) width from cents)
-    select cast(bin as int) bin, (lo * 20 + bin * width) / cast(2000 as double) lo,
-           (lo * 20 + (bin + 1) * width) / cast(2000 as double) hi, count(*) n
-    from (select least(coalesce((c - lo) * 20 // nullif(width, 0), 0), 19) bin, lo, width
+         span as (select min(c) lowest, max(c) - min(c) width from cents)
+    select cast(bin as int) bin, (lowest * 20 + bin * width) / cast(2000 as double) lo,
+           (lowest * 20 + (bin + 1) * width) / cast(2000 as double) hi, count(*) n
+    from (select least(coalesce((c - lowest) * 20 // nullif(width, 0), 0), 19) bin,
+                 lowest, width
           from cents cross join span)
-    group by bin, span.lo, width""".replace("span.lo", "lo"),
+    group by bin, lowest, width""",
     "volume_summary": " union all ".join(
         f"select '{name}' as table_name, count(*) n from {view}"
         for name, view in {

@@ -65,13 +65,11 @@ def filter_routes(
 ) -> DataFrame:
     """:func:`all_routes` narrowed to some transport types and a longest time."""
     routes = all_routes(t, wheelchair_only, sort=False)
-    kinds = transport_types and F.col("transport_type").isin(*transport_types)
-    longest = max_travel_time is not None
-    return only(
-        routes,
-        kinds if transport_types is not None else None,
-        F.col("avg_travel_time_min") <= max_travel_time if longest else None,
-    )
+    if transport_types is not None:
+        routes = routes.filter(F.col("transport_type").isin(*transport_types))
+    if max_travel_time is not None:
+        routes = routes.filter(F.col("avg_travel_time_min") <= max_travel_time)
+    return routes
 
 
 @ordered("avg_travel_time_min", "route_id")
