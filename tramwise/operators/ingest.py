@@ -88,9 +88,10 @@ def surrogate_keys(
     A plain row number would sort everything in one task. Here the md5 prefix
     spreads the distinct keys evenly over 16^digits buckets; rows are numbered
     inside their bucket and lifted by the size of the buckets before it. Only
-    that table of bucket sizes, bounded by ``digits``, is kept in one place.
+    that table of bucket sizes, bounded by ``digits``, is kept in one place and
+    broadcast.
     """
-    text = F.col(natural_key).cast("string").cast("binary")
+    text = F.coalesce(F.col(natural_key).cast("string"), F.lit("")).cast("binary")
     keyed = frame.withColumn("_bucket", F.substring(F.md5(text), 1, digits))
     sizes = keyed.groupBy("_bucket").agg(count_rows().alias("n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,12 +39,15 @@ def fare_histogram(t: Tables, bins: int = 20) -> DataFrame:
     """
     listed = all_routes(t, sort=False).filter(F.col("base_fare").isNotNull())
     cents = listed.select((F.col("base_fare") * 100).cast("bigint").alias("cents"))
-    lowest = cents.agg(F.min("cents")).scalar()
-    span = cents.agg(F.max("cents") - F.min("cents")).scalar()
+    least, most = F.min("cents"), F.max("cents")
+    bounds = cents.agg(
+        F.struct(least.alias("lowest"), (most - least).alias("span"))
+    ).scalar()
     place = ratio((F.col("cents") - F.col("lowest")) * bins, F.col("span"))
     band = F.least(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(bins - 1))
     counted = (
-        cents.select("cents", lowest.alias("lowest"), span.alias("span"))
+        cents.select("cents", bounds.alias("bounds"))
+        .select("cents", "bounds.lowest", "bounds.span")
         .groupBy(band.cast("int").alias("bin"), "lowest", "span")
         .agg(count_rows().alias("n"))
     )

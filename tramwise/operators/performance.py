@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import first_day, hour_of_minute, sunday_based_weekday
@@ -285,23 +285,48 @@ def daily_metrics(t: Tables, modal_weather: bool = False) -> DataFrame:
 
     ``predominant_weather`` is the alphabetically last condition of the day;
     ``modal_weather=True`` adds the most frequent one as well.
+
+    The largest text cannot be kept in a hash aggregate, which would make Spark
+    sort all logs. So weather is a grouping key at first, and the largest is
+    taken from the few groups of each day.
     """
-    extra = [F.mode("weather_condition", True).alias("modal_weather")]
-    measures = t.travel_time_logs.groupBy("log_date", "route_id").agg(
-        count_rows().alias("total_trips"),
-        F.count_if(in_peak()).alias("peak_trips"),
-        rounded_mean(ride_minutes()).alias("avg_duration"),
-        rounded_mean(delay()).alias("avg_delay"),
-        rounded_mean_if(in_peak(), delay()).alias("peak_delay"),
-        rounded_mean_if(~in_peak(), delay()).alias("offpeak_delay"),
-        rounded_mean(passengers()).alias("avg_passengers"),
-        F.max(passengers()).alias("max_passengers"),
-        F.sum(passengers()).alias("total_passengers"),
-        F.max("weather_condition").alias("predominant_weather"),
-        *(extra if modal_weather else []),
+    day_and_route = ("log_date", "route_id")
+    values = {
+        "ride": ride_minutes(),
+        "delay": delay(),
+        "peak_delay": F.when(in_peak(), delay()),
+        "offpeak_delay": F.when(~in_peak(), delay()),
+        "load": passengers(),
+    }
+    by_weather = t.travel_time_logs.groupBy(*day_and_route, "weather_condition").agg(
+        count_rows().alias("n"),
+        F.count_if(in_peak()).alias("n_peak"),
+        F.max(passengers()).alias("fullest"),
+        *[F.sum(v).alias(f"sum_{name}") for name, v in values.items()],
+        *[F.count(v).alias(f"n_{name}") for name, v in values.items()],
+    )
+
+    def day_mean(name: str) -> Column:
+        return rounded(ratio(F.sum(f"sum_{name}"), F.sum(f"n_{name}")))
+
+    weather = F.col("weather_condition")
+    most_often = F.when(weather.isNotNull(), F.struct("n", weather))
+    modal = [F.max(most_often)["weather_condition"].alias("modal_weather")]
+    measures = by_weather.groupBy(*day_and_route).agg(
+        F.sum("n").alias("total_trips"),
+        F.sum("n_peak").alias("peak_trips"),
+        day_mean("ride").alias("avg_duration"),
+        day_mean("delay").alias("avg_delay"),
+        day_mean("peak_delay").alias("peak_delay"),
+        day_mean("offpeak_delay").alias("offpeak_delay"),
+        day_mean("load").alias("avg_passengers"),
+        F.max("fullest").alias("max_passengers"),
+        F.sum("sum_load").alias("total_passengers"),
+        F.max(weather).alias("predominant_weather"),
+        *(modal if modal_weather else []),
     )
     day = F.col("log_date")
-    names = [c for c in measures.columns if c not in ("log_date", "route_id")]
+    names = [c for c in measures.columns if c not in day_and_route]
     return measures.join(route_identity(t), "route_id").select(
         "log_date",
         sunday_based_weekday(day).alias("day_of_week"),

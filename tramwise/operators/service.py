@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import first_day, first_instant, sunday_based_weekday
 from ..functions.labels import NORMAL_SERVICE, service_state
-from ..functions.order import falling, ordered
+from ..functions.order import ordered
 from ..functions.stats import count_rows, ratio, rounded, rounded_mean_if
 from ..schema import SERVICE_STATES
 from ..sources.tables import Tables
-from .common import delay, route_identity, top_per_group
+from .common import delay, route_identity
+
+CHECK_COLUMNS = (
+    "availability_id",
+    "check_time",
+    "is_operational",
+    "delay_minutes",
+    "reason",
+)
 
 
 def operational() -> Column:
@@ -22,9 +30,16 @@ def operational() -> Column:
 
 
 def latest_checks(checks: DataFrame) -> DataFrame:
-    """The newest check of every route; equal instants go by the higher id."""
-    newest_first = [falling("check_time"), falling("availability_id")]
-    return top_per_group(checks, ["route_id"], newest_first, 1)
+    """The newest check of every route; equal instants go by the higher id.
+
+    An aggregate rather than a ranking: map tasks send on one row per route,
+    and they sort by route only. A check without an instant counts as newest,
+    as it does in falling order.
+    """
+    at = F.col("check_time")
+    age = F.struct(at.isNull().alias("unknown"), at, F.col("availability_id"))
+    newest = F.max_by(F.struct(*CHECK_COLUMNS), age).alias("newest")
+    return checks.groupBy("route_id").agg(newest).select("route_id", "newest.*")
 
 
 def with_state(frame: DataFrame) -> DataFrame:
@@ -35,19 +50,9 @@ def with_state(frame: DataFrame) -> DataFrame:
 @ordered("route_name", "route_id")
 def current_service_status(t: Tables) -> DataFrame:
     """Newest status of every route; a route without checks runs normally."""
-    latest = latest_checks(
-        t.service_availability.select(
-            "route_id",
-            "availability_id",
-            "check_time",
-            "is_operational",
-            "delay_minutes",
-            "reason",
-        )
-    )
     return (
         route_identity(t)
-        .join(latest, "route_id", "left")
+        .join(latest_checks(t.service_availability), "route_id", "left")
         .select(
             "route_id",
             "route_name",

@@ -60,9 +60,10 @@ def expand_timetable(
         values = (rule.first, rule.last, rule.every, rule.ride, rule.peak, done)
         blocks.append(F.struct(*[F.lit(v) for v in values]))
         done += rule.departures
+    extra = F.lit(0) if extra_ride is None else extra_ride
     names = ("first", "last", "every", "ride", "is_peak_hour", "offset")
     week = (
-        routes.select("route_id", (extra_ride if extra_ride is not None else F.lit(0)).alias("extra"))
+        routes.select("route_id", extra.alias("extra"))
         .select(
             "*",
             F.posexplode(F.array(*[F.lit(d) for d in days])).alias("day", "day_of_week"),
