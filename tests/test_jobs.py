@@ -84,7 +84,10 @@ def test_stored_logs_are_pruned_by_date(spark, loaded, tmp_path):
 def test_plain_parquet_tables(spark, loaded, tmp_path):
     loaded.routes.drop("active").write.parquet(f"{tmp_path}/routes")
     t = from_parquet(spark, str(tmp_path), ["routes"])
-    assert t.stations is None
+    with pytest.raises(AttributeError):
+        t.stations  # noqa: B018
+    with pytest.raises(TypeError):
+        t.with_(buses=t.routes)
     assert {r["active"] for r in rows(t.routes)} == {None}
 
 

@@ -35,25 +35,33 @@ from .common import (
 )
 
 
+def _days_logged(logs: DataFrame, name: str) -> DataFrame:
+    """Distinct days per route, in a pass of its own.
+
+    Counted next to the other measures, every buffer of theirs would be
+    shuffled once per route and day; alone, only the two keys are.
+    """
+    return logs.groupBy("route_id").agg(F.count_distinct("log_date").alias(name))
+
+
 @ordered("route_id")
 def route_stats(t: Tables, route_id: int | None = None) -> DataFrame:
     """Key figures per route; one call serves a single route or all of them."""
     wanted = equals("route_id", route_id)
-    measures = (
-        only(t.travel_time_logs, wanted)
-        .groupBy("route_id")
-        .agg(
-            F.count_distinct("log_date").alias("days_tracked"),
-            rounded_mean(ride_minutes()).alias("avg_duration_min"),
-            rounded_mean(delay()).alias("avg_delay_min"),
-            rounded_mean_if(in_peak(), delay()).alias("peak_delay_min"),
-            rounded_mean_if(~in_peak(), delay()).alias("offpeak_delay_min"),
-            F.max(delay()).alias("max_delay_min"),
-            mean(passengers()).alias("load"),
-        )
+    logs = only(t.travel_time_logs, wanted)
+    measures = logs.groupBy("route_id").agg(
+        rounded_mean(ride_minutes()).alias("avg_duration_min"),
+        rounded_mean(delay()).alias("avg_delay_min"),
+        rounded_mean_if(in_peak(), delay()).alias("peak_delay_min"),
+        rounded_mean_if(~in_peak(), delay()).alias("offpeak_delay_min"),
+        F.max(delay()).alias("max_delay_min"),
+        mean(passengers()).alias("load"),
     )
     routes = only(route_identity(t, "distance_km", "max_capacity"), wanted)
-    return routes.join(measures, "route_id", "left").select(
+    found = routes.join(measures, "route_id", "left").join(
+        _days_logged(logs, "days_tracked"), "route_id", "left"
+    )
+    return found.select(
         *routes.columns,
         or_zero(F.col("days_tracked")).alias("days_tracked"),
         "avg_duration_min",
@@ -221,7 +229,6 @@ def route_summary(t: Tables) -> DataFrame:
     are compared with the capacity.
     """
     measures = t.travel_time_logs.groupBy("route_id").agg(
-        F.count_distinct("log_date").alias("days_with_data"),
         rounded_mean(ride_minutes()).alias("avg_duration_min"),
         rounded_mean(minutes("scheduled_duration_minutes")).alias(
             "scheduled_duration_min"
@@ -247,6 +254,7 @@ def route_summary(t: Tables) -> DataFrame:
     routes = with_station_names(t, t.routes, zones=True)
     return (
         routes.join(measures, "route_id", "left")
+        .join(_days_logged(t.travel_time_logs, "days_with_data"), "route_id", "left")
         .join(crowded, "route_id", "left")
         .select(
             "route_id",

@@ -8,6 +8,8 @@ but unused files. Repeating it with the same stamp overwrites them.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def current(spark: SparkSession, base: str) -> Tables:
         path = _snapshot(base, newest["stamp"], name)
         return spark.read.schema(LAYOUTS[name]).parquet(path)
 
-    return Tables(**{name: stored(name) for name in newest["tables"]})
+    return Tables(**{name: partial(stored, name) for name in newest["tables"]})
 
 
 def _snapshot(base: str, stamp: str, name: str) -> str:

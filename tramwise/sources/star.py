@@ -7,7 +7,9 @@ filters on the derived columns reach the parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import Tables
@@ -50,38 +52,32 @@ def tables(spark: SparkSession, base: str, shift_checks: bool = False) -> Tables
     the one report that joins the two; elsewhere the raw instants are kept, so
     that look-back filters can be pushed down.
     """
-    supplier = read(spark, base, "supplier")
-    nation = read(spark, base, "nation")
-    region = read(spark, base, "region")
-    customer = read(spark, base, "customer")
-    orders = read(spark, base, "orders")
-    lineitem = read(spark, base, "lineitem")
-    events = read(spark, base, "events")
-    n_routes = supplier.agg(F.count(F.lit(1))).scalar()
+    scan = partial(read, spark, base)
+
+    def n_routes() -> Column:
+        return scan("supplier").agg(F.count(F.lit(1))).scalar()
 
-    routes = _routes(supplier)
     return Tables(
-        zones=_zones(region),
-        stations=_stations(nation),
-        routes=routes,
-        schedules=_schedules(supplier),
-        fare_cards=_fare_cards(customer),
-        trips=_trips(orders, n_routes),
-        travel_time_logs=_logs(lineitem),
-        service_availability=_checks(events, n_routes, shift_checks),
-        users=customer.selectExpr("c_custkey as user_id", "c_name as name"),
-        bookings=orders.filter("o_orderstatus = 'O'").select(
-            F.col("o_orderkey").alias("booking_id"),
-            F.col("o_custkey").alias("user_id"),
-            (F.col("o_orderkey") % n_routes).alias("route_id"),
-            F.col("o_orderdate").alias("ts"),
+        zones=lambda: _zones(scan("region")),
+        stations=lambda: _stations(scan("nation")),
+        routes=lambda: _routes(scan("supplier")),
+        schedules=lambda: _schedules(scan("supplier")),
+        fare_cards=lambda: _fare_cards(scan("customer")),
+        trips=lambda: _trips(scan("orders"), n_routes()),
+        travel_time_logs=lambda: _logs(scan("lineitem")),
+        service_availability=lambda: _checks(scan("events"), n_routes(), shift_checks),
+        users=lambda: scan("customer").selectExpr(
+            "c_custkey as user_id", "c_name as name"
         ),
-        passenger_logs=lineitem.selectExpr(
+        bookings=lambda: _bookings(scan("orders"), n_routes()),
+        passenger_logs=lambda: scan("lineitem").selectExpr(
             "l_suppkey as route_id",
             "l_shipdate as ts",
             "cast(40 + (l_partkey * 7) % 200 as int) as passenger_count",
         ),
-        transport_routes=routes.select("route_id", "route_name", "max_capacity"),
+        transport_routes=lambda: _routes(scan("supplier")).select(
+            "route_id", "route_name", "max_capacity"
+        ),
     )
 
 
@@ -188,7 +184,7 @@ def _fare_cards(customer: DataFrame) -> DataFrame:
     )
 
 
-def _trips(orders: DataFrame, n_routes) -> DataFrame:
+def _trips(orders: DataFrame, n_routes: Column) -> DataFrame:
     hour = F.col("o_orderkey") % 24
     tap_in = F.col("o_orderdate") + F.make_dt_interval(hours=hour.cast("int"))
     ride = F.make_dt_interval(mins=(15 + F.col("o_orderkey") % 31).cast("int"))
@@ -209,6 +205,15 @@ def _trips(orders: DataFrame, n_routes) -> DataFrame:
     )
 
 
+def _bookings(orders: DataFrame, n_routes: Column) -> DataFrame:
+    return orders.filter("o_orderstatus = 'O'").select(
+        F.col("o_orderkey").alias("booking_id"),
+        F.col("o_custkey").alias("user_id"),
+        (F.col("o_orderkey") % n_routes).alias("route_id"),
+        F.col("o_orderdate").alias("ts"),
+    )
+
+
 def _logs(lineitem: DataFrame) -> DataFrame:
     return lineitem.selectExpr(
         "l_orderkey * 8 + l_linenumber as log_id",
@@ -225,7 +230,7 @@ def _logs(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _checks(events: DataFrame, n_routes, shifted: bool) -> DataFrame:
+def _checks(events: DataFrame, n_routes: Column, shifted: bool) -> DataFrame:
     at = F.col("ts")
     if shifted:
         at = at - F.make_dt_interval(days=F.lit(CHECK_SHIFT_DAYS))

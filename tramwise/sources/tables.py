@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import LAYOUTS
 
 
-@dataclass(frozen=True)
 class Tables:
-    """Lazy frames, one per table; leave out what a query does not read."""
-
-    zones: DataFrame | None = None
-    stations: DataFrame | None = None
-    routes: DataFrame | None = None
-    schedules: DataFrame | None = None
-    fare_cards: DataFrame | None = None
-    trips: DataFrame | None = None
-    travel_time_logs: DataFrame | None = None
-    service_availability: DataFrame | None = None
-    users: DataFrame | None = None
-    bookings: DataFrame | None = None
-    passenger_logs: DataFrame | None = None
-    transport_routes: DataFrame | None = None
-
-    def with_(self, **frames: DataFrame) -> Tables:
-        return replace(self, **frames)
+    """The transit tables as lazy frames; leave out what a query does not read.
+
+    A table may be given as a function, which is called when the table is first
+    read: sources can offer all tables without building each one's plan.
+    """
+
+    def __init__(self, **frames: DataFrame | Callable[[], DataFrame]):
+        unknown = set(frames) - set(LAYOUTS)
+        if unknown:
+            raise TypeError(f"no such tables: {sorted(unknown)}")
+        self._frames = frames
+
+    def __getattr__(self, name: str) -> DataFrame:
+        frames = self.__dict__.get("_frames", {})
+        if name not in frames:
+            raise AttributeError(f"no table {name!r} was given")
+        if not isinstance(frames[name], DataFrame):
+            frames[name] = frames[name]()
+        return frames[name]
+
+    def with_(self, **frames: DataFrame | Callable[[], DataFrame]) -> Tables:
+        """A copy with some tables replaced or added."""
+        return Tables(**{**self._frames, **frames})
+
+    def names(self) -> list[str]:
+        return [name for name in LAYOUTS if name in self._frames]
 
     def present(self) -> dict[str, DataFrame]:
-        pairs = ((f.name, getattr(self, f.name)) for f in fields(self))
-        return {name: frame for name, frame in pairs if frame is not None}
+        return {name: getattr(self, name) for name in self.names()}
 
     def register_views(self, aliases: Mapping[str, str] | None = None) -> None:
         """Temp views under the table names, for SQL users.
@@ -54,13 +61,15 @@ def from_parquet(spark: SparkSession, base: str, names=tuple(LAYOUTS)) -> Tables
     The declared schema saves the inference job and keeps missing optional
     columns as NULL.
     """
-    return Tables(
-        **{n: spark.read.schema(LAYOUTS[n]).parquet(f"{base}/{n}") for n in names}
-    )
+
+    def scan(name: str) -> DataFrame:
+        return spark.read.schema(LAYOUTS[name]).parquet(f"{base}/{name}")
+
+    return Tables(**{n: partial(scan, n) for n in names})
 
 
 def from_catalog(spark: SparkSession, database: str, names=tuple(LAYOUTS)) -> Tables:
-    return Tables(**{n: spark.table(f"{database}.{n}") for n in names})
+    return Tables(**{n: partial(spark.table, f"{database}.{n}") for n in names})
 
 
 def from_jdbc(
@@ -89,4 +98,4 @@ def from_jdbc(
             )
         return reader.load()
 
-    return Tables(**{n: scan(n) for n in names})
+    return Tables(**{n: partial(scan, n) for n in names})
