@@ -8,8 +8,8 @@ from conftest import log, rows
 from tramwise.functions.calendar import weekday_name
 from tramwise.operators import ingest, timetable
 from tramwise.operators.audit import integrity_audit
-from tramwise.plans.importer import import_network, with_derived_peak
-from tramwise.schema import DEFAULTS, STATION_FEED, STATIONS, STOP_LISTS
+from tramwise.plans.importer import import_network
+from tramwise.schema import STATION_FEED, STATIONS, STOP_LISTS
 from tramwise.sources import feed
 
 
@@ -96,8 +96,9 @@ def test_station_import(spark, network):
 
 
 def test_conform_fills_defaults(spark):
-    some = spark.createDataFrame([(1, "x", None)], "station_id LONG, station_name STRING, has_elevator BOOLEAN")
-    found = ingest.conform(some, STATIONS, DEFAULTS["stations"])
+    given = "station_id LONG, station_name STRING, has_elevator BOOLEAN"
+    some = spark.createDataFrame([(1, "x", None)], given)
+    found = ingest.conform(some, "stations")
     assert found.columns == spark.createDataFrame([], STATIONS).columns
     row = rows(found)[0]
     assert row["has_elevator"] is False and row["zone_id"] is None
@@ -111,7 +112,7 @@ def test_lines(spark, network):
         (4, "N", "no stops", []),
     ]
     lines = spark.createDataFrame(given, STOP_LISTS)
-    found = rows(ingest.routes_from_stop_lists(lines, network.stations))
+    found = rows(ingest.routes_from_stop_lists(lines, network.stations).orderBy("line_id"))
     assert [
         (r["route_name"], r["transport_type"], r["start_station_id"], r["end_station_id"])
         for r in found
@@ -159,10 +160,20 @@ def test_whole_import(spark, network):
     assert small.stations.count() == 24
 
 
+def test_schedule_and_trip_rows(spark):
+    raw = spark.sql("select 5 route_id, '0' day_of_week, 60 departure_min")
+    row = rows(ingest.schedule_rows(raw))[0]
+    assert row["day_of_week"] == "Sunday" and row["is_peak_hour"] is False
+    raw = spark.sql("select 1 trip_id, timestamp_ntz '2000-01-01 17:05:00' tap_in_time")
+    row = rows(ingest.trip_rows(raw))[0]
+    assert row["is_peak_hour"] is True and row["trip_date"].day == 1
+
+
 def test_peak_from_the_hour(make):
     t = make(travel_time_logs=[log(1, minute=479, is_peak_hour=None)])
-    found = rows(with_derived_peak(t.travel_time_logs, (7, 8)))
-    assert found[0]["is_peak_hour"] is True
+    assert rows(ingest.log_rows(t.travel_time_logs))[0]["is_peak_hour"] is True
+    late = ingest.log_rows(t.travel_time_logs, hours=(9,))
+    assert rows(late)[0]["is_peak_hour"] is False
 
 
 def test_audit_finds_each_breach(make, network):

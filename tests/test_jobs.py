@@ -104,6 +104,16 @@ def test_reports_by_name(loaded, spark):
         transit.nothing()
 
 
+def test_queries_in_sql(loaded, make):
+    at = datetime(2000, 1, 3, 8)
+    trip = {"trip_id": 1, "card_id": 4, "route_id": 2, "tap_in_time": at}
+    transit = Transit(loaded.with_(**make(trips=[trip]).present()))
+    named = transit.query("select route_name from routes where route_id = :id", id=2)
+    assert rows(named) == [{"route_name": "two"}]
+    view = transit.query("select unique_riders from route_performance where route_id = 2")
+    assert rows(view) == [{"unique_riders": 1}]
+
+
 def test_views(loaded, spark):
     loaded.register_views()
     assert spark.sql("select count(*) from zone_metadata").first()[0] == 2

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.calendar import hour_of_minute, in_hours, weekday_name
 from ..functions.labels import line_mode
-from ..functions.order import ordered
 from ..functions.stats import count_rows
+from ..schema import DEFAULTS, IMPORT_PEAK_HOURS, LAYOUTS
 from .common import top_per_group
 
 # fixed values: names in the feed and ours, columns a feed must have
@@ -107,12 +108,10 @@ def surrogate_keys(
     )
 
 
-def conform(
-    frame: DataFrame, layout: str, defaults: dict[str, object] | None = None
-) -> DataFrame:
-    """Cast to a declared layout; absent columns and NULLs take their default."""
-    defaults = defaults or {}
-    fields = StructType.fromDDL(layout).fields
+def conform(frame: DataFrame, table: str) -> DataFrame:
+    """Cast to the layout of a table; absent columns and NULLs take defaults."""
+    defaults = DEFAULTS.get(table, {})
+    fields = StructType.fromDDL(LAYOUTS[table]).fields
 
     def column(field) -> Column:
         given = F.col(field.name) if field.name in frame.columns else F.lit(None)
@@ -125,7 +124,6 @@ def conform(
     return frame.select(*[column(f) for f in fields])
 
 
-@ordered("station_id")
 def import_stations(feed: DataFrame, zones: DataFrame) -> DataFrame:
     """Station rows from a raw feed: one per id, zoned, numbered and typed.
 
@@ -149,7 +147,6 @@ def import_stations(feed: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
-@ordered("line_id")
 def routes_from_stop_lists(lines: DataFrame, stations: DataFrame) -> DataFrame:
     """Routes from the first to the last known station of each line.
 
@@ -185,3 +182,26 @@ def routes_from_stop_lists(lines: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
+
+
+def schedule_rows(raw: DataFrame) -> DataFrame:
+    """Timetable rows; days may be names or the digits 0 (Sunday) to 6."""
+    named = raw.withColumn("day_of_week", weekday_name(F.col("day_of_week")))
+    return conform(named, "schedules")
+
+
+def log_rows(raw: DataFrame, hours: tuple[int, ...] = IMPORT_PEAK_HOURS) -> DataFrame:
+    """Travel-time logs with the peak flag set from their hour."""
+    flag = hour_of_minute(F.col("log_min")).isin(*hours)
+    return conform(raw.withColumn("is_peak_hour", flag), "travel_time_logs")
+
+
+def trip_rows(raw: DataFrame, hours: tuple[int, ...] = IMPORT_PEAK_HOURS) -> DataFrame:
+    """Trips with their day and peak flag set from the tap-in."""
+    flagged = raw.withColumns(
+        {
+            "trip_date": F.to_date("tap_in_time"),
+            "is_peak_hour": in_hours(F.col("tap_in_time"), hours),
+        }
+    )
+    return conform(flagged, "trips")

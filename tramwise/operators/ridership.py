@@ -81,7 +81,6 @@ def peak_hour_analysis(t: Tables) -> DataFrame:
     )
 
 
-@ordered("card_id")
 def card_statistics(t: Tables) -> DataFrame:
     """Trip count and last trip of each card; cards without trips keep theirs."""
     ridden = t.trips.groupBy("card_id").agg(
@@ -100,12 +99,11 @@ def refreshed_fare_cards(t: Tables) -> DataFrame:
     old = t.fare_cards
     return (
         old.drop("total_trips", "last_used")
-        .join(card_statistics(t, sort=False), "card_id", "left")
+        .join(card_statistics(t), "card_id", "left")
         .select(*old.columns)
     )
 
 
-@ordered("card_id")
 def fare_card_numbers(t: Tables) -> DataFrame:
     """Printed number and type that follow from the running card number."""
     number = F.col("card_id")
@@ -116,7 +114,6 @@ def fare_card_numbers(t: Tables) -> DataFrame:
     )
 
 
-@ordered("trip_id")
 def peak_flag(t: Tables, hours: tuple[int, ...] = IMPORT_PEAK_HOURS) -> DataFrame:
     """Whether each trip began in one of the peak hours."""
     flag = in_hours(F.col("tap_in_time"), hours)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import MINUTES_PER_DAY
-from ..functions.order import ordered
 from ..schema import WEEKDAYS
 
 
@@ -88,13 +87,11 @@ def expand_timetable(
     )
 
 
-@ordered("schedule_id")
 def timetable_importer(routes: DataFrame) -> DataFrame:
     """60 departures per route and day, every 10 or 20 minutes."""
     return expand_timetable(routes, IMPORT_RULES)
 
 
-@ordered("schedule_id")
 def timetable_seed(routes: DataFrame) -> DataFrame:
     """46 departures per route and day; the ride depends on the route id."""
     return expand_timetable(routes, SEED_RULES, F.col("route_id") % 10)

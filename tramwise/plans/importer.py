@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.ingest import (
     conform,
@@ -14,7 +13,6 @@ from ..operators.ingest import (
     surrogate_keys,
 )
 from ..operators.timetable import timetable_importer
-from ..schema import DEFAULTS, ROUTES, STATIONS
 from ..sources.tables import Tables
 
 
@@ -28,17 +26,9 @@ def import_network(
     """
     if sample:
         feed = stratified_sample(distinct_stations(feed))
-    stations = conform(
-        import_stations(feed, zones, sort=False), STATIONS, DEFAULTS["stations"]
-    )
-    found = routes_from_stop_lists(lines, stations, sort=False)
-    numbered = surrogate_keys(found, "line_id", "route_id")
-    routes = conform(numbered, ROUTES, DEFAULTS["routes"])
-    schedules = timetable_importer(routes.select("route_id"), sort=False)
+    stations = conform(import_stations(feed, zones), "stations")
+    found = routes_from_stop_lists(lines, stations)
+    routes = conform(surrogate_keys(found, "line_id", "route_id"), "routes")
+    schedules = timetable_importer(routes.select("route_id"))
     return Tables(zones=zones, stations=stations, routes=routes, schedules=schedules)
 
-
-def with_derived_peak(logs: DataFrame, hours: tuple[int, ...]) -> DataFrame:
-    """Logs with the peak flag set from their hour, for loads that lack it."""
-    hour = F.floor(F.col("log_min") / 60).cast("int")
-    return logs.withColumn("is_peak_hour", hour.isin(*hours))

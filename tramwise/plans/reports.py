@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import (
     audit,
@@ -79,6 +79,14 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     name: getattr(module, name) for module, names in _MODULES.items() for name in names
 }
 
+# Reports that are also views, and the tables they read.
+VIEWS = {
+    "daily_ridership": ("trips",),
+    "route_performance": ("routes", "trips"),
+    "card_type_usage": ("fare_cards", "trips"),
+    "peak_hour_analysis": ("trips",),
+}
+
 
 class Transit:
     """A set of tables with every report as a method.
@@ -98,6 +106,23 @@ class Transit:
     def __dir__(self) -> list[str]:
         return sorted([*super().__dir__(), *REPORTS])
 
+    def query(self, text: str, **args) -> DataFrame:
+        """SQL over the tables, with ``:name`` markers for the arguments.
+
+        The tables and the four summary views are visible under their names.
+        """
+        self.tables.register_views()
+        for name in VIEWS:
+            if all(table in self.tables.names() for table in VIEWS[name]):
+                view = REPORTS[name](self.tables, sort=False)
+                view.createOrReplaceTempView(name)
+        return self.spark.sql(text, args=args)
+
+    @property
+    def spark(self) -> SparkSession:
+        name = self.tables.names()[0]
+        return getattr(self.tables, name).sparkSession
+
     def records(self, name: str, limit: int = 1000, **params) -> list[dict]:
         """Up to ``limit`` rows of a report as dictionaries on the driver."""
         return to_records(getattr(self, name)(**params), limit)

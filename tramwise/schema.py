@@ -88,17 +88,6 @@ LOAD_ORDER = (
     "service_availability",
 )
 
-TABLE_COMMENTS = {
-    "zones": "Areas with the population and income figures planners use",
-    "stations": "Stops, their place and their step-free features",
-    "routes": "Directed links between a first and a last station",
-    "schedules": "Timetable, one row per departure",
-    "fare_cards": "Anonymous cards; nothing personal is held",
-    "trips": "One row per ride, from tap-in to tap-out",
-    "travel_time_logs": "Measured ride times, load and delay",
-    "service_availability": "Status checks per route",
-}
-
 # --- fixed values: domains ---------------------------------------------------
 TRANSPORT_TYPES = ("Bus", "Metro", "Tram")
 WEEKDAYS = (

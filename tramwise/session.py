@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Cut groups down to their top rows before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # Streaming state beyond the heap; it is checkpointed to the shared folder.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Instants of the transit tables carry no zone.
     "spark.sql.session.timeZone": "UTC",
 }
