@@ -1,6 +1,7 @@
 """Export pack, refresh, report access and sources."""
 
 import csv
+import json
 from datetime import date, datetime
 from pathlib import Path
 
@@ -8,6 +9,8 @@ import pytest
 from conftest import check, log, rows
 
 from tramwise import Transit
+from tramwise.__main__ import run
+from tramwise.operators.ingest import conform
 from tramwise.plans.export import DATASETS, export_pack
 from tramwise.plans.refresh import current, refresh
 from tramwise.plans.reports import REPORTS, first_record, kept, to_records
@@ -104,6 +107,45 @@ def test_reports_by_name(loaded, spark):
         transit.nothing()
 
 
+def test_command_line(spark, loaded, tmp_path, capsys):
+    base, out = str(tmp_path / "base"), str(tmp_path / "out")
+    stops = [f"stop {n}" for n in range(4)]
+    feed = [
+        {"station_id": str(n), "stop_name": s, "borough": "Queens", "ada": "1"}
+        | {"gtfs_latitude": "40.5", "gtfs_longitude": "-73.5"}
+        for n, s in enumerate(stops)
+    ]
+    (tmp_path / "feed.json").write_text("\n".join(map(json.dumps, feed)))
+    line = {"line_id": 1, "line": "Q", "description": "", "stops": stops}
+    (tmp_path / "lines.json").write_text(json.dumps(line))
+    files = ["--feed", f"{tmp_path}/feed.json", "--lines", f"{tmp_path}/lines.json"]
+    run(spark, ["import", *files, "--base", base, "--as-of", "2000-01-01"])
+    assert "420 schedules" in capsys.readouterr().out
+    run(spark, ["report", "all_stations", "--base", base, "--limit", "1"])
+    assert capsys.readouterr().out == "{'station_name': 'stop 0'}\n"
+
+    refresh(loaded, base, "20000102")
+    moment = ["--base", base, "--as-of", AS_OF.isoformat()]
+    run(spark, ["report", "service_reliability", "--set", "days=9", *moment])
+    assert "'total_checks': 2" in capsys.readouterr().out
+    run(spark, ["export", "--out", out, *moment])
+    assert len(capsys.readouterr().out.splitlines()) == len(DATASETS)
+
+
+def test_a_crowded_date_is_stored_by_several_tasks(spark, network, tmp_path):
+    crowd = spark.range(0, 100_000, 1, 8).selectExpr(
+        "id as log_id", "id % 7 as route_id", "date '2000-01-03' as log_date"
+    )
+    many = conform(crowd, "travel_time_logs")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50KB")
+    try:
+        refresh(network.with_(travel_time_logs=many), str(tmp_path), "1")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list(Path(tmp_path, "1", "travel_time_logs").glob("log_date=*/*.parquet"))
+    assert len(files) > 1
+
+
 def test_queries_in_sql(loaded, make):
     at = datetime(2000, 1, 3, 8)
     trip = {"trip_id": 1, "card_id": 4, "route_id": 2, "tap_in_time": at}

@@ -65,11 +65,12 @@ def fare_histogram(t: Tables, bins: int = 20) -> DataFrame:
 
 @ordered("table_name")
 def volume_summary(t: Tables) -> DataFrame:
-    """Row counts of the tables, and the cards that are active."""
-    counts = [
-        frame.agg(count_rows().alias("n")).select(F.lit(name).alias("table_name"), "n")
-        for name, frame in t.present().items()
+    """Row counts of the given tables, and the cards that are active."""
+    counts = {name: frame.agg(count_rows().alias("n")) for name, frame in t.present().items()}
+    if "fare_cards" in counts:
+        counts["active_cards"] = t.fare_cards.agg(F.count_if("is_active").alias("n"))
+    named = [
+        count.select(F.lit(name).alias("table_name"), "n")
+        for name, count in counts.items()
     ]
-    active = t.fare_cards.agg(F.count_if("is_active").alias("n"))
-    counts.append(active.select(F.lit("active_cards").alias("table_name"), "n"))
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, named)
