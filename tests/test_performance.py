@@ -33,6 +33,29 @@ def test_mean_on_the_edge_rounds_away_from_zero(make, network):
     assert rows(performance.weather_impact(t))[0]["avg_delay"] == Decimal("-1.01")
 
 
+def test_means_equal_exact_arithmetic(spark):
+    """Random groups against fractions rounded half away from zero."""
+    import random
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from tramwise.functions.stats import rounded_mean
+
+    draw = random.Random(5)
+    groups = {
+        g: [draw.randint(-300, 300) for _ in range(draw.choice([1, 3, 7, 8, 40, 200]))]
+        for g in range(1500)
+    }
+    given = [(g, v) for g, values in groups.items() for v in values]
+    frame = spark.createDataFrame(given, "g INT, v INT").repartition(6)
+    found = frame.groupBy("g").agg(rounded_mean(F.col("v")).alias("m")).collect()
+    for row in found:
+        exact = Fraction(sum(groups[row["g"]]), len(groups[row["g"]])) * 100
+        size = (2 * abs(exact) + 1) // 2
+        assert row["m"] * 100 == (size if exact >= 0 else -size)
+
+
 def test_long_sums_stay_exact(spark, make, network):
     t = logs(make, network, log(1, avg_travel_time="999.99"))
     many = t.with_(

@@ -15,8 +15,12 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def crowded(spark):
+    return crowded_tables(spark, SF_DIR)
+
+
+def crowded_tables(spark, sf_dir):
     """Every third log, check, trip and booking belongs to route 1 (or card 1)."""
-    t = star.tables(spark, SF_DIR, shift_checks=True)
+    t = star.tables(spark, sf_dir, shift_checks=True)
 
     def crowd(frame, column, by):
         hot = F.pmod(F.xxhash64(*by), F.lit(3)) == 0
@@ -69,26 +73,40 @@ def test_latest_status_by_brute_force(crowded):
             assert r["check_time"] == newest[r["route_id"]][1]["check_time"]
 
 
-def test_hour_join_under_forced_skew(spark, crowded):
-    """The wide export with shuffle joins only, and skew splitting forced."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-    }
+FORCED_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def joined_export(t):
+    return performance.route_performance_export(t, sort=False)
+
+
+def joined_bookings(t):
+    return capacity.booking_list(t, sort=False)
+
+
+@pytest.mark.parametrize("report", [joined_export, joined_bookings])
+def test_row_level_joins_under_forced_skew(report, spark):
+    """Shuffle joins only, and skew splitting forced."""
     # Several map tasks, as a large table has: a partition is split between them.
-    crowded = crowded.with_(
+    crowded = crowded_tables(spark, "/root/testdata/sf0.01")
+    t = crowded.with_(
         travel_time_logs=crowded.travel_time_logs.repartition(8),
         service_availability=crowded.service_availability.repartition(8),
+        bookings=crowded.bookings.repartition(8),
     )
-    usual = sorted(map(str, rows(performance.route_performance_export(crowded, sort=False))))
-    old = {k: spark.conf.get(k, None) for k in settings}
-    for key, value in settings.items():
+    usual = sorted(map(str, rows(report(t))))
+    old = {k: spark.conf.get(k, None) for k in FORCED_SKEW}
+    for key, value in FORCED_SKEW.items():
         spark.conf.set(key, value)
     try:
-        frame = performance.route_performance_export(crowded, sort=False)
+        frame = report(t)
         split = sorted(map(str, rows(frame)))
         plan = frame._jdf.queryExecution().executedPlan().toString()
     finally:

@@ -166,7 +166,8 @@ def route_performance_export(t: Tables, sort: bool = True) -> DataFrame:
     """One wide row per log and per status check in the log's hour.
 
     Both facts are joined on (route, date, hour), a key that spreads a crowded
-    route over its hours; what stays heavy is split by adaptive skew joins.
+    route over its hours; what stays heavy is split by adaptive skew joins. The
+    names come last, so that they are not shuffled with every log.
     """
     routes = with_station_names(t, t.routes, zones=True).drop(
         "start_station_id", "end_station_id", "active"
@@ -180,9 +181,8 @@ def route_performance_export(t: Tables, sort: bool = True) -> DataFrame:
         F.col("delay_minutes").alias("service_delay_minutes"),
         F.col("reason").alias("service_issue_reason"),
     )
-    rows = logs.join(routes, "route_id").join(
-        checks, ["route_id", "log_date", "hour_of_day"], "left"
-    )
+    in_hour = ["route_id", "log_date", "hour_of_day"]
+    rows = logs.join(checks, in_hour, "left").join(routes, "route_id")
     if sort:
         rows = _newest_first(rows)
     return rows.select(
