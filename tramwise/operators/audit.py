@@ -31,8 +31,7 @@ def integrity_audit(t: Tables) -> DataFrame:
                 findings.append(_duplicates(name, frame, column))
         for column, parent in rules.references:
             if column in frame.columns and parent in frames:
-                key = CONSTRAINTS[parent].key
-                findings.append(_orphans(name, frame, column, frames[parent], key, parent))
+                findings.append(_orphans(name, frame, column, parent, frames[parent]))
     return reduce(DataFrame.unionByName, findings)
 
 
@@ -65,7 +64,7 @@ def _duplicates(name: str, frame: DataFrame, column: str) -> DataFrame:
 
 
 def _orphans(
-    name: str, frame: DataFrame, column: str, parent: DataFrame, key: str, of: str
+    name: str, frame: DataFrame, column: str, parent: str, parents: DataFrame
 ) -> DataFrame:
     """Rows whose parent is missing.
 
@@ -77,9 +76,10 @@ def _orphans(
         .groupBy(F.col(column).alias("ref"))
         .agg(count_rows().alias("rows"))
     )
-    missing = used.join(parent.select(F.col(key).alias("ref")), "ref", "left_anti")
+    known = parents.select(F.col(CONSTRAINTS[parent].key).alias("ref"))
+    missing = used.join(known, "ref", "left_anti")
     orphans = missing.agg(or_zero(F.sum("rows")).alias("n"))
-    return _finding(name, orphans.withColumn("rule", F.lit(f"orphan:{column}->{of}")))
+    return _finding(name, orphans.withColumn("rule", F.lit(f"orphan:{column}->{parent}")))
 
 
 def _finding(name: str, counts: DataFrame) -> DataFrame:

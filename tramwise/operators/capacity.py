@@ -109,7 +109,10 @@ def overloaded_services(t: Tables, exact: bool = False) -> DataFrame:
     return (
         demand.join(t.transport_routes, "route_id")
         .groupBy("route_name", F.col("ts").alias("timestamp"), "max_capacity")
-        .agg(F.sum("passengers").alias("passengers"), F.sum("bookings").alias("bookings"))
+        .agg(
+            F.sum("passengers").alias("passengers"),
+            F.sum("bookings").alias("bookings"),
+        )
         .filter(total > F.col("max_capacity"))
         .select(
             "route_name",

@@ -66,7 +66,9 @@ def fare_histogram(t: Tables, bins: int = 20) -> DataFrame:
 @ordered("table_name")
 def volume_summary(t: Tables) -> DataFrame:
     """Row counts of the given tables, and the cards that are active."""
-    counts = {name: frame.agg(count_rows().alias("n")) for name, frame in t.present().items()}
+    counts = {
+        name: frame.agg(count_rows().alias("n")) for name, frame in t.present().items()
+    }
     if "fare_cards" in counts:
         counts["active_cards"] = t.fare_cards.agg(F.count_if("is_active").alias("n"))
     named = [

@@ -172,7 +172,8 @@ def route_performance_export(t: Tables, sort: bool = True) -> DataFrame:
     routes = with_station_names(t, t.routes, zones=True).drop(
         "start_station_id", "end_station_id", "active"
     )
-    logs = t.travel_time_logs.withColumn("hour_of_day", hour_of_minute(F.col("log_min")))
+    log_hour = hour_of_minute(F.col("log_min"))
+    logs = t.travel_time_logs.withColumn("hour_of_day", log_hour)
     checks = t.service_availability.select(
         "route_id",
         F.to_date("check_time").alias("log_date"),

@@ -14,7 +14,7 @@ from ..schema import WEEKDAYS
 
 @dataclass(frozen=True)
 class Headway:
-    """Departures from ``first`` to ``last`` (minutes of the day), ``every`` so often."""
+    """Departures from ``first`` to ``last``, in minutes of the day."""
 
     first: int
     last: int
@@ -65,7 +65,9 @@ def expand_timetable(
         routes.select("route_id", extra.alias("extra"))
         .select(
             "*",
-            F.posexplode(F.array(*[F.lit(d) for d in days])).alias("day", "day_of_week"),
+            F.posexplode(F.array(*[F.lit(d) for d in days])).alias(
+                "day", "day_of_week"
+            ),
         )
         .select("*", F.inline(F.array(*blocks)).alias(*names))
         .select(

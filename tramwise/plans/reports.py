@@ -140,7 +140,9 @@ def first_record(frame: DataFrame) -> dict:
 
 
 @contextmanager
-def kept(frame: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator:
+def kept(
+    frame: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK
+) -> Iterator[DataFrame]:
     """Hold a frame that several reports read, for the length of a block."""
     frame.persist(level)
     try:

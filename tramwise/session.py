@@ -22,7 +22,9 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
+def configure(
+    spark: SparkSession, shuffle_partitions: int | None = None
+) -> SparkSession:
     """Apply :data:`SETTINGS` to a running session.
 
     ``shuffle_partitions`` is the number before adaptive merging; on a cluster

@@ -142,7 +142,8 @@ def _routes(supplier: DataFrame) -> DataFrame:
         "cast(3 + (s_suppkey % 20) * 0.65 as decimal(5,2)) as distance_km",
         "cast(2 + (s_suppkey % 5) * 0.25 as decimal(10,2)) as base_fare",
         "s_suppkey % 4 <> 0 as wheelchair_accessible",
-        "case s_suppkey % 3 when 0 then 60 when 1 then 200 else 120 end as max_capacity",
+        "case s_suppkey % 3 when 0 then 60 when 1 then 200 else 120 end "
+        "as max_capacity",
         "true as active",
     )
 

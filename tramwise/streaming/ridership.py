@@ -35,7 +35,9 @@ def daily_ridership(taps: DataFrame, lateness: str = LATENESS) -> DataFrame:
         raise ValueError(f"days are cut in UTC, but the session zone is {zone}")
     per_card = (
         taps.select(
-            F.col("tap_in_time").cast("timestamp_ltz").alias("at"), "card_id", "fare_paid"
+            F.col("tap_in_time").cast("timestamp_ltz").alias("at"),
+            "card_id",
+            "fare_paid",
         )
         .withWatermark("at", lateness)
         .groupBy(F.window("at", "1 day"), "card_id")

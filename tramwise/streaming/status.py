@@ -10,7 +10,9 @@ from ..schema import SERVICE_AVAILABILITY
 from ..session import checkpoint_root
 
 
-def read_checks(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def read_checks(
+    spark: SparkSession, path: str, files_per_batch: int = 1000
+) -> DataFrame:
     """Checks that land as parquet files."""
     return (
         spark.readStream.schema(SERVICE_AVAILABILITY)
