@@ -63,3 +63,37 @@ def test_daily_ridership_equals_batch_on_closed_days(spark, tmp_path):
         assert row["unique_riders"] == expected[day]["unique_riders"]
         assert row["total_revenue"] == expected[day]["total_revenue"]
         assert row["avg_fare"] == expected[day]["avg_fare"]
+
+
+def test_late_taps_count_until_their_day_closes(spark, make, tmp_path):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+
+    def arrive(*taps):
+        trips = [
+            {
+                "trip_id": i,
+                "card_id": card,
+                "route_id": 1,
+                "tap_in_time": datetime.fromisoformat(at),
+                "fare_paid": Decimal("2.00"),
+                "trip_date": date.fromisoformat(at[:10]),
+            }
+            for i, (card, at) in enumerate(taps)
+        ]
+        make(trips=trips).trips.coalesce(1).write.mode("append").parquet(landed)
+        stream = ridership.read_taps(spark, landed, files_per_batch=1)
+        query = ridership.start_daily_ridership(stream, out, str(tmp_path / "state"))
+        assert query.awaitTermination(120)
+
+    arrive((1, "2000-01-01 08:00:00"), (1, "2000-01-01 18:00:00"))
+    arrive((2, "2000-01-02 09:00:00"))
+    arrive((3, "2000-01-01 23:00:00"))  # a day late, but the first is still open
+    arrive((2, "2000-01-05 09:00:00"))
+    arrive((4, "2000-01-01 10:00:00"), (2, "2000-01-09 09:00:00"))  # too late
+    found = {r["trip_date"].day: r for r in rows(spark.read.parquet(out))}
+    assert found[1]["total_trips"] == 3 and found[1]["unique_riders"] == 2
+    assert found[2]["total_trips"] == 1
+    assert found[1]["total_revenue"] == Decimal("6.00")
