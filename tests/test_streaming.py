@@ -16,11 +16,13 @@ def test_live_status_equals_batch(spark, tmp_path):
     t = star.tables(spark, SF_DIR)
     landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
     stored = t.service_availability.withColumn("current_capacity", F.lit(None).cast("int"))
-    stored.repartition(3).write.parquet(landed)
+    stored.repartition(4).write.parquet(landed)
 
     def run():
         stream = status.read_checks(spark, landed, files_per_batch=1)
-        query = status.start_live_status(stream, out, str(tmp_path / "checkpoint"))
+        query = status.start_live_status(
+            stream, out, str(tmp_path / "checkpoint"), snapshot_every=2
+        )
         assert query.awaitTermination(120)
 
     run()
@@ -39,6 +41,8 @@ def test_live_status_equals_batch(spark, tmp_path):
     ).write.mode("append").parquet(landed)
     run()
     live = t.with_(service_availability=status.current_status(spark, out))
+    kinds = spark.read.parquet(out).select("kind", "batch_id").distinct()
+    assert {tuple(r) for r in kinds.collect()} >= {("snapshot", 2), ("change", 3)}
     both = t.with_(service_availability=t.service_availability.unionByName(extra))
     assert rows(current_service_status(live)) == rows(current_service_status(both))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.service import latest_checks
@@ -22,19 +23,31 @@ def read_checks(
 
 
 def start_live_status(
-    checks: DataFrame, out: str, checkpoint: str | None = None, **trigger
+    checks: DataFrame,
+    out: str,
+    checkpoint: str | None = None,
+    snapshot_every: int = 100,
+    **trigger,
 ) -> StreamingQuery:
     """Write the routes whose newest check changed, one folder per batch.
 
-    The state holds one row per route; checks may arrive in any order.
-    A batch that is run again after a failure replaces its own folder, so the
-    changes stay exactly-once. The default checkpoint lies in the shared folder
-    of the session.
+    The state holds one row per route; checks may arrive in any order. Every
+    ``snapshot_every`` batches the status of all routes is written instead of
+    the changes, so that readers never go back further than that. A batch that
+    is run again after a failure replaces its own folder. The default
+    checkpoint lies in the shared folder of the session.
     """
-    location = checkpoint or f"{checkpoint_root(checks.sparkSession)}/live_status"
+    spark = checks.sparkSession
+    location = checkpoint or f"{checkpoint_root(spark)}/live_status"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+        kind = "change"
+        if number % snapshot_every == 0:
+            kind = "snapshot"
+            if number > 0:
+                earlier = current_status(spark, out, before=number)
+                batch = latest_checks(earlier.unionByName(batch))
+        batch.write.mode("overwrite").parquet(f"{out}/kind={kind}/batch_id={number}")
 
     return (
         latest_checks(checks)
@@ -46,10 +59,17 @@ def start_live_status(
     )
 
 
-def current_status(spark: SparkSession, out: str) -> DataFrame:
-    """Newest status per route from the written changes.
+def current_status(
+    spark: SparkSession, out: str, before: int | None = None
+) -> DataFrame:
+    """Newest status per route, from the last snapshot and the changes since.
 
     Its rows serve as ``service_availability`` for every report on the current
-    status.
+    status. ``before`` looks at the batches before that number only.
     """
-    return latest_checks(spark.read.parquet(out))
+    stored = spark.read.parquet(out)
+    if before is not None:
+        stored = stored.filter(F.col("batch_id") < before)
+    snapshots = stored.filter(F.col("kind") == "snapshot")
+    last = snapshots.agg(F.max("batch_id")).scalar()
+    return latest_checks(stored.filter(F.col("batch_id") >= last))
