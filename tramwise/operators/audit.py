@@ -79,7 +79,8 @@ def _orphans(
     known = parents.select(F.col(CONSTRAINTS[parent].key).alias("ref"))
     missing = used.join(known, "ref", "left_anti")
     orphans = missing.agg(or_zero(F.sum("rows")).alias("n"))
-    return _finding(name, orphans.withColumn("rule", F.lit(f"orphan:{column}->{parent}")))
+    rule = F.lit(f"orphan:{column}->{parent}")
+    return _finding(name, orphans.withColumn("rule", rule))
 
 
 def _finding(name: str, counts: DataFrame) -> DataFrame:

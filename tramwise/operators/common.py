@@ -28,7 +28,9 @@ def in_peak() -> Column:
 def with_station_names(t: Tables, routes: DataFrame, zones: bool = False) -> DataFrame:
     """Add the names of both ends, and of their zones when asked.
 
-    Routes without a known station (or zone) drop out.
+    Routes without a known station (or zone) drop out. The dimensions are joined
+    one after the other, each with its own size to judge by: Spark overrates the
+    size of a join of two of them.
     """
     for end in ("start", "end"):
         stop = t.stations.select(
@@ -36,13 +38,13 @@ def with_station_names(t: Tables, routes: DataFrame, zones: bool = False) -> Dat
             F.col("station_name").alias(f"{end}_station"),
             F.col("zone_id").alias(f"{end}_zone_id"),
         )
+        routes = routes.join(stop, f"{end}_station_id")
         if zones:
             names = t.zones.select(
                 F.col("zone_id").alias(f"{end}_zone_id"),
                 F.col("zone_name").alias(f"{end}_zone"),
             )
-            stop = stop.join(names, f"{end}_zone_id")
-        routes = routes.join(stop, f"{end}_station_id")
+            routes = routes.join(names, f"{end}_zone_id")
     return routes
 
 

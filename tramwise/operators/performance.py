@@ -169,9 +169,6 @@ def route_performance_export(t: Tables, sort: bool = True) -> DataFrame:
     route over its hours; what stays heavy is split by adaptive skew joins. The
     names come last, so that they are not shuffled with every log.
     """
-    routes = with_station_names(t, t.routes, zones=True).drop(
-        "start_station_id", "end_station_id", "active"
-    )
     log_hour = hour_of_minute(F.col("log_min"))
     logs = t.travel_time_logs.withColumn("hour_of_day", log_hour)
     checks = t.service_availability.select(
@@ -183,7 +180,8 @@ def route_performance_export(t: Tables, sort: bool = True) -> DataFrame:
         F.col("reason").alias("service_issue_reason"),
     )
     in_hour = ["route_id", "log_date", "hour_of_day"]
-    rows = logs.join(checks, in_hour, "left").join(routes, "route_id")
+    rows = logs.join(checks, in_hour, "left").join(t.routes.drop("active"), "route_id")
+    rows = with_station_names(t, rows, zones=True)
     if sort:
         rows = _newest_first(rows)
     return rows.select(
