@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import public_tokenizers
@@ -146,14 +147,10 @@ class PairMerger:
         return found + sum(map(self.plain, self.cut.split(text)))
 
 
-_mergers: dict[int, PairMerger] = {}
-
-
-def _merger(vocabulary) -> PairMerger:
+@lru_cache(maxsize=2)
+def _merger(vocabulary: str) -> PairMerger:
     """One merger for each vocabulary and worker; it outlives the task."""
-    if vocabulary.id not in _mergers:
-        _mergers[vocabulary.id] = PairMerger(vocabulary.value)
-    return _mergers[vocabulary.id]
+    return PairMerger(vocabulary)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
@@ -169,7 +166,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches):
-        merger = _merger(held)
+        merger = _merger(held.value)
         for batch in batches:
             numbers = [merger.count(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
