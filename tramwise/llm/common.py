@@ -67,15 +67,15 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def bounded_sample(rows: DataFrame, key: str, label: Column, n: int) -> DataFrame:
-    """At most ``n`` rows with each of the labels 0 and 1, the same ones every time.
+def bounded_sample(rows: DataFrame, key: str, label: str, n: int) -> DataFrame:
+    """(key, y): at most ``n`` rows with each of the labels 0 and 1.
 
-    They are those with the smallest hash of ``key``. Each task sends its best
-    ``n`` rows only.
+    They are those with the smallest hash of ``key``, the same ones every time.
+    Each task sends its best ``n`` rows only.
     """
     parts = [
-        rows.where(label == value)
-        .select(key, F.lit(value).alias("y"))
+        rows.where((F.col(label) == value) & F.col(key).isNotNull())
+        .select(F.col(key).cast("long").alias(key), F.lit(value).alias("y"))
         .orderBy(F.xxhash64(key), key)
         .limit(n)
         for value in (0, 1)
@@ -83,6 +83,14 @@ def bounded_sample(rows: DataFrame, key: str, label: Column, n: int) -> DataFram
     return parts[0].unionByName(parts[1])
 
 
+def label_counts(rows: DataFrame, label: str) -> tuple[int, int]:
+    """How many of all rows carry label 0 and label 1."""
+    found = rows.select(
+        F.count(F.when(F.col(label) == 0, 1)), F.count(F.when(F.col(label) == 1, 1))
+    ).first()
+    return found[0], found[1]
+
+
 # -- Inside tasks -------------------------------------------------------------
 
 
@@ -190,44 +198,41 @@ def runs(hashes: np.ndarray, counts: np.ndarray, k: int):
 def char_grams(texts: list[str], orders: tuple[int, ...], bits: int):
     """Hashed character n-grams of each text, all of them, repeats included.
 
-    Returns feature numbers below ``2**bits`` and the bounds of each text.
-    Texts stand between two blanks, so that beginnings and ends count too.
+    Returns feature numbers below ``2**bits`` and the position of the text each
+    belongs to, order by order. Texts stand between two blanks, so that
+    beginnings and ends count too.
     """
     padded = [f" {t} " for t in texts]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = "".join(padded).encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(raw, np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in padded], np.int64)
-    ends = np.cumsum(sizes)
-    codes = codes.astype(np.uint64)
-    left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters up to the end
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # up to the end
     grams, owners = [], []
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     for n in orders:
-        total = np.full(max(len(codes) - n + 1, 0), n * 0x632BE5AB, np.uint64)
+        size = max(len(codes) - n + 1, 0)
+        total = np.full(size, n * 0x632BE5AB, np.uint64)
         for j in range(n):
-            total = total * np.uint64(_BASE) + codes[j : j + len(total)]
-        keep = left[: len(total)] >= n
-        grams.append((mix(total[keep]) >> np.uint64(64 - bits)).astype(np.int32))
-        owners.append(owner[: len(total)][keep])
-    if len(orders) == 1:
-        ids, who = grams[0], owners[0]
-    else:
-        who = np.concatenate(owners)
-        order = np.argsort(who, kind="stable")
-        ids, who = np.concatenate(grams)[order], who[order]
-    return ids, np.searchsorted(who, np.arange(len(texts) + 1))
-
-
-def row_slices(texts: list, most: int = SLICE_BYTES // 4) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most ``most`` characters, or one text."""
+            total = total * np.uint64(_BASE) + codes[j : j + size]
+        keep = left[:size] >= n
+        grams.append((mix(total[keep]) >> np.uint64(64 - bits)).astype(np.int64))
+        owners.append(owner[:size][keep])
+    return np.concatenate(grams), np.concatenate(owners)
+
+
+def per_row(ids: np.ndarray, owner: np.ndarray, bits: int):
+    """Distinct (row, feature) pairs: rows, features and how often each occurs."""
+    keys, times = np.unique(owner << bits | ids, return_counts=True)
+    return keys >> bits, keys & ((1 << bits) - 1), times
+
+
+def row_slices(texts: list, most: int = SLICE_BYTES // 4, rows: int = 512):
+    """Ranges of at most ``rows`` texts with at most ``most`` characters, or one text."""
     sizes = np.cumsum([0, *(len(t) for t in texts)])
-    yield from slices(sizes, most)
+    for first, end in slices(sizes, most):
+        for at in range(first, end, rows):
+            yield at, min(at + rows, end)
 
 
 def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
-
-
-def with_columns(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
-    """The batch's columns but for its text, and new ones."""
-    kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
-    return pa.RecordBatch.from_pydict(kept | columns)
