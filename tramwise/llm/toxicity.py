@@ -23,20 +23,26 @@ from tramwise.llm.common import (
     row_slices,
     sigmoid,
     small_batches,
+    stage,
 )
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 3000
+SAMPLE_TASKS = 8
 FOLDS = 5
 HELD_OUT_FOLD = 0
 
 
+#: The features are hashes of this many bits; a table of FILTER bits sifts them.
+BITS = 40
+FILTER = 22
+
+
 @dataclass(frozen=True)
 class Grams:
     """What the features are and how the weights are fitted."""
 
     orders: tuple[int, ...] = (4, 5, 6, 7)
-    bits: int = 21
     features: int = 50_000  # of all, those whose ratio is surest
     least_rows: int = 4  # sampled texts that a feature must occur in
     decay: float = 3e-5
@@ -44,11 +50,24 @@ class Grams:
     inner: int = 12
 
 
-def distinct_grams(texts: list[str], how: Grams):
-    """Distinct (row, n-gram) pairs, sorted."""
-    ids, owner = char_grams([t.lower() for t in texts], how.orders, how.bits)
-    rows, ids, _ = per_row(ids, owner, how.bits)
-    return rows, ids
+class Features:
+    """Finds the chosen n-grams in texts."""
+
+    def __init__(self, chosen: np.ndarray, orders: tuple[int, ...]):
+        self.chosen, self.orders = chosen, orders  # sorted
+        self.sieve = np.zeros(1 << FILTER, bool)
+        self.sieve[chosen & ((1 << FILTER) - 1)] = True
+
+    def __call__(self, texts: list[str]):
+        """Distinct (row, position of the feature) pairs, sorted."""
+        grams, owner = char_grams(texts, self.orders, BITS)
+        maybe = np.flatnonzero(self.sieve[grams & ((1 << FILTER) - 1)])
+        grams, owner = grams[maybe], owner[maybe]
+        at = np.searchsorted(self.chosen, grams)
+        hit = at < len(self.chosen)
+        hit[hit] = self.chosen[at[hit]] == grams[hit]
+        rows, at, _ = per_row(at[hit], owner[hit], BITS)
+        return rows, at
 
 
 def newton(row, col, value, y, width: int, how: Grams) -> tuple[np.ndarray, float]:
@@ -92,26 +111,48 @@ def newton(row, col, value, y, width: int, how: Grams) -> tuple[np.ndarray, floa
     return w[:-1], float(w[-1])
 
 
-def fit(labels: np.ndarray, grams: list[np.ndarray], how: Grams) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, their weights, intercept)."""
-    sizes = [len(g) for g in grams]
-    row, flat = np.repeat(np.arange(len(grams)), sizes), np.concatenate([*grams, np.zeros(0, np.int32)])
-    toxic = labels[row] == 1 if len(row) else np.zeros(0, bool)
-    width = 1 << how.bits
-    p = 1.0 + np.bincount(flat[toxic], minlength=width)
-    q = 1.0 + np.bincount(flat[~toxic], minlength=width)
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    sure[p + q - 2 < how.least_rows] = 0
-    chosen = np.sort(np.argsort(-sure, kind="stable")[: how.features])
-    chosen = chosen[sure[chosen] > 0]
-    place = np.full(width, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    kept = place[flat] >= 0
-    row, col = row[kept], place[flat[kept]]
-    value = ratio[chosen][col]
-    w, b = newton(row, col, value, labels, len(chosen), how)
-    return chosen, (w * ratio[chosen]).astype(np.float32), float(b)
+def _lower(column) -> list[str]:
+    return [(t or "").lower() for t in column.to_pylist()]
+
+
+def gram_counts(sample: DataFrame, how: Grams) -> DataFrame:
+    """(gram, p, q): how many toxic and other sampled texts an n-gram occurs in."""
+
+    def count(batches):
+        for batch in batches:
+            texts = _lower(batch.column("text"))
+            toxic = np.array(batch.column("y").to_pylist(), np.int64)
+            for a, b in row_slices(texts):
+                grams, owner = char_grams(texts[a:b], how.orders, BITS)
+                rows, grams, _ = per_row(grams, owner, BITS)
+                grams, at = np.unique(grams, return_inverse=True)
+                p = np.bincount(at, toxic[a:b][rows], len(grams)).astype(np.int64)
+                q = np.bincount(at, minlength=len(grams)) - p
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams), pa.array(p), pa.array(q)], ["gram", "p", "q"]
+                )
+
+    return (
+        sample.mapInArrow(count, "gram long, p long, q long")
+        .groupBy("gram")
+        .agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        .where(F.col("p") + F.col("q") >= how.least_rows)
+    )
+
+
+def choose(counts: DataFrame, how: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams with the surest log-count ratios, and those ratios, both smoothed by 1."""
+    p, q = F.col("p") + 1, F.col("q") + 1
+    all_p, all_q = counts.select(F.sum(p), F.sum(q)).first()
+    ratio = F.log(p / float(all_p or 1)) - F.log(q / float(all_q or 1))
+    top = (
+        counts.select("gram", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("sure"))
+        .orderBy(F.desc("sure"), "gram")
+        .limit(how.features)
+        .collect()
+    )
+    top.sort(key=lambda r: r.gram)
+    return np.array([r.gram for r in top], np.int64), np.array([r.ratio for r in top], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Grams, n: int):
@@ -120,34 +161,44 @@ def train(docs: DataFrame, labels: DataFrame, how: Grams, n: int):
     At most ``n`` rows of each class are used, so the log-odds of all labelled rows
     take the place of those of the sample.
     """
+    wanted = F.broadcast(bounded_sample(labels, "doc_id", "label", n))
+    sample = stage(
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .join(wanted, "doc_id")
+        .select("doc_id", "y", "text")
+        .repartition(SAMPLE_TASKS),
+        "toxicity-sample",
+    )
+    chosen, ratio = choose(stage(gram_counts(sample, how), "toxicity-grams"), how)
+    find = Features(chosen, how.orders)
 
     def compute(batches):
         for batch in batches:
             ids, y = batch.column("doc_id"), batch.column("y")
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = _lower(batch.column("text"))
             for a, b in row_slices(texts):
-                rows, grams = distinct_grams(texts[a:b], how)
+                rows, at = find(texts[a:b])
                 cut = np.searchsorted(rows, np.arange(b - a + 1))
-                held = [grams[i:j].astype("<i4").tobytes() for i, j in zip(cut, cut[1:])]
+                held = [at[i:j].astype("<i4").tobytes() for i, j in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), y.slice(a, b - a), pa.array(held, pa.binary())],
-                    ["doc_id", "y", "grams"],
+                    ["doc_id", "y", "found"],
                 )
 
-    sample = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .join(F.broadcast(bounded_sample(labels, "doc_id", "label", n)), "doc_id")
-        .select("doc_id", "y", "text")
-        .mapInArrow(compute, "doc_id long, y int, grams binary")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "grams")
+    rows = (
+        sample.mapInArrow(compute, "doc_id long, y int, found binary")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "found")
         .limit(2 * n)
         .collect()
     )
-    y = np.array([r.y for r in sample], float)
-    chosen, weights, intercept = fit(y, [np.frombuffer(r.grams, "<i4") for r in sample], how)
+    y = np.array([r.y for r in rows], float)
+    found = [np.frombuffer(r.found, "<i4") for r in rows]
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    col = np.concatenate([*found, np.zeros(0, np.int32)])
+    w, b = newton(row, col, ratio[col], y, len(chosen), how)
     none, some = label_counts(labels, "label")
     shift = np.log((some + 1) / (none + 1)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    return chosen, weights, float(intercept + shift)
+    return chosen, w * ratio, float(b + shift)
 
 
 def score_toxicity(
@@ -173,17 +224,14 @@ def score_toxicity(
     held = docs.sparkSession.sparkContext.broadcast((chosen, weights))  # `features` numbers
 
     def score(batches):
-        at, own = held.value
-        w = np.zeros(1 << how.bits, np.float32)
-        w[at] = own
+        chosen, w = held.value
+        find = Features(chosen, how.orders)
         for batch in batches:
-            texts = [(t or "").lower() for t in batch.column("text").to_pylist()]
+            texts = _lower(batch.column("text"))
             total = np.zeros(len(texts))
             for a, b in row_slices(texts):
-                ids, owner = char_grams(texts[a:b], how.orders, how.bits)
-                told = np.flatnonzero(w[ids])
-                rows, ids, _ = per_row(ids[told], owner[told], how.bits)
-                total[a:b] = np.bincount(rows, w[ids], b - a)
+                rows, at = find(texts[a:b])
+                total[a:b] = np.bincount(rows, w[at], b - a)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sigmoid(total + intercept))], ["doc_id", "score"]
             )
