@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramwise.llm import language_id, mixing, quality, token_counts, toxicity
+from tramwise.llm import language_id, mixing, quality, substrings, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_mixing": op2_mixing,
+        "op3_substrings": op3_substrings,
         "op4_toxicity": op4_toxicity,
         "op7_token_counts": op7_token_counts,
         "op10_quality": op10_quality,
