@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramwise.llm import language_id, minhash, mixing, quality, substrings, token_counts, toxicity
+from tramwise.llm import language_id, minhash, mixing, quality, substrings, templates, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.drop_recurring(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", "text"
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -53,9 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_minhash": op5_minhash,
         "op7_token_counts": op7_token_counts,
+        "op8_templates": op8_templates,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_templates": templates.ORACLE_SQL}
