@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramwise.llm import language_id, minhash, mixing, quality, substrings, templates, token_counts, toxicity
+from tramwise.llm import decontaminate, language_id, minhash, mixing, quality, substrings, templates, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Near(words=4))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substrings": op3_substrings,
         "op4_toxicity": op4_toxicity,
         "op5_minhash": op5_minhash,
+        "op6_decontaminate": op6_decontaminate,
         "op7_token_counts": op7_token_counts,
         "op8_templates": op8_templates,
         "op10_quality": op10_quality,
