@@ -304,3 +304,10 @@ SHAPE = pa.schema(
         *[(c, pa.int64()) for c in ("first_word", "n_words")],
     ]
 )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item."""
+    found = leaks(docs, benchmark, how).select("doc_id").distinct().alias("k")
+    d = docs.alias("d")
+    return d.join(found, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_anti")

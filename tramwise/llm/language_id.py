@@ -136,18 +136,8 @@ def decode(margins: np.ndarray, model: Model, how: Coding):
     return best, 1 / likely.sum(1), second, gap
 
 
-def identify(
-    docs: DataFrame, learn_from: DataFrame | None = None, how: Coding = Coding(), keep: tuple = ()
-) -> DataFrame:
-    """Predict the language of every whole text.
-
-    ``learn_from`` (by default ``docs``) has doc_id, text and lang; rows of the
-    held-out fold and rows with a NULL in one of them are not learned from. Columns:
-    doc_id, held_out, lang_pred, score, runner_up, ambiguous, and those of ``docs``
-    named in ``keep``. A text that is NULL or has no letter is ``und`` with score 0,
-    and so is every text if there is nothing to learn from. Repeated documents get
-    the same answer; a NULL id is no obstacle.
-    """
+def _predict(docs: DataFrame, learn_from: DataFrame | None, how: Coding, keep: list) -> DataFrame:
+    """Predictions, with the columns of ``docs`` named in ``keep`` as kept_0, kept_1, ..."""
     small_batches(docs.sparkSession)
     source = docs if learn_from is None else learn_from
     learned = source.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).where(
@@ -156,6 +146,7 @@ def identify(
         & F.col("lang").isNotNull()
     )
     model = train(learned, how)
+    whole = "text" in keep
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x code bits numbers
 
     def predict(batches):
@@ -177,7 +168,7 @@ def identify(
                     scores.append(float(score[i]) if known else 0.0)
                     others.append(m.languages[second[i]] if known and len(m.languages) > 1 else None)
                     close.append(bool(not known or gap[i] < how.least_margin))
-            own = batch.drop_columns(["text", "letters"])
+            own = batch.drop_columns(["letters"] if whole else ["text", "letters"])
             made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(others, pa.string()), pa.array(close, pa.bool_())]
             yield pa.RecordBatch.from_arrays(
                 [*own.columns, *made], [*own.schema.names, "lang_pred", "score", "runner_up", "ambiguous"]
@@ -185,20 +176,44 @@ def identify(
 
     given = docs.select(
         F.col("doc_id").cast("long"),
-        *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)],
+        *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep) if c != "text"],
         "text",
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-2])
-    found = given.mapInArrow(
+    own = given.schema.fields[: -1 if whole else -2]
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
+    return given.mapInArrow(
         predict, f"{shape}, lang_pred string, score double, runner_up string, ambiguous boolean"
     )
-    return found.select(
+
+
+def identify(
+    docs: DataFrame, learn_from: DataFrame | None = None, how: Coding = Coding()
+) -> DataFrame:
+    """Predict the language of every whole text.
+
+    ``learn_from`` (by default ``docs``) has doc_id, text and lang; rows of the
+    held-out fold and rows with a NULL in one of them are not learned from. Columns:
+    doc_id, held_out, lang_pred, score, runner_up, ambiguous. A text that is NULL or has
+    no letter is ``und`` with score 0, and so is every text if there is nothing to learn
+    from. Repeated documents get the same answer; a NULL id is no obstacle. Other
+    columns are not read.
+    """
+    return _predict(docs, learn_from, how, []).select(
         "doc_id",
         F.coalesce(crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"),
         "lang_pred",
         "score",
         "runner_up",
         "ambiguous",
-        *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],
     )
+
+
+def with_known_language(
+    docs: DataFrame, learn_from: DataFrame | None = None, how: Coding = Coding()
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is found without ambiguity."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    named = {c: c if c == "text" else f"kept_{i}" for i, c in enumerate(others)} | {"doc_id": "doc_id"}
+    found = _predict(docs, learn_from, how, others).where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
+    return found.select(*[F.col(named[c]).alias(c) for c in docs.columns])

@@ -301,3 +301,10 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def without_near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
+    """``docs`` with one document of each component: that of the least id."""
+    kept = near_duplicates(docs, how).where("kept").select("doc_id").distinct().alias("k")
+    d = docs.alias("d")
+    return d.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramwise.llm import decontaminate, language_id, minhash, mixing, quality, substrings, templates, token_counts, toxicity
+from tramwise.llm import decontaminate, language_id, minhash, mixing, neighbours, quality, substrings, templates, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate,
         "op7_token_counts": op7_token_counts,
         "op8_templates": op8_templates,
+        "op9_neighbours": op9_neighbours,
         "op10_quality": op10_quality,
     }
 
