@@ -1,0 +1,40 @@
+"""The corpus pipeline and what is registered."""
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tests.llm.conftest import SMALL
+
+
+def test_registered():
+    names = [n for n in entry.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert "pipeline" in entry.queries()
+    assert "op8_templates" in entry.oracle_sql()
+
+
+def test_stages_keep_the_columns(spark, odd):
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        assert apply(spark, odd, SMALL).columns == odd.columns, name
+
+
+def test_every_stage_takes_empty_documents(spark, no_docs):
+    for name, apply in corpus_pipeline.STAGES:
+        assert apply(spark, no_docs, SMALL).count() == 0, name
+
+
+def test_lines_update_n_chars(spark, odd):
+    left = corpus_pipeline.drop_template_lines(spark, odd, SMALL)
+    assert left.where(F.char_length("text") != F.col("n_chars")).count() == 0
+
+
+def test_run(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    mix = corpus_pipeline.run(spark, SMALL)
+    assert mix.columns == [*docs.columns, "copy"]
+    rows = mix.collect()
+    assert rows == sorted(rows, key=lambda r: 0) and {r["copy"] for r in rows} <= {1, 2}
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
+    again = corpus_pipeline.run(spark, SMALL).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
