@@ -77,15 +77,28 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle the few documents left so that the words come nearest to what is due."""
+    """Settle the few documents left so that the words come nearest to what is due.
+
+    If they alone cannot bring it near, up to two others of the group change sides.
+    """
+    due = (p * size).sum()
     open_ = np.flatnonzero((p > EPSILON) & (p < 1 - EPSILON))
-    due = (p[open_] * size[open_]).sum()
+    p = p.copy()
+    p[open_] = 0.0
+    over = (p * size).sum() - due
     best = min(
         range(1 << len(open_)),
-        key=lambda c: (abs(sum(size[k] for b, k in enumerate(open_) if c >> b & 1) - due), c),
+        key=lambda c: (abs(over + sum(size[k] for b, k in enumerate(open_) if c >> b & 1)), c),
     )
     for b, k in enumerate(open_):
         p[k] = float(best >> b & 1)
+    for _ in range(2 if len(p) else 0):
+        over = (p * size).sum() - due
+        after = np.abs(over + np.where(p > 0.5, -size, size))
+        k = int(after.argmin())
+        if after[k] >= abs(over):
+            break
+        p[k] = 1.0 - p[k]
     return p
 
 
