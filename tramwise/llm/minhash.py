@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramwise.llm.common import (
+    TextPress,
     lower_ascii,
     mix,
     runs,
@@ -131,29 +131,15 @@ def describe(texts: DataFrame, how: Near) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 
-def compressed(texts: DataFrame) -> DataFrame:
-    """(doc_id, blob): texts as they are shuffled."""
-
-    def run(batches):
-        shut = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            blobs = [shut.compress(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "blob"]
-            )
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, blob binary")
-
-
-def confirm(pairs: DataFrame, blobs: DataFrame, how: Near) -> DataFrame:
+def confirm(pairs: DataFrame, blobs: DataFrame, press: TextPress, how: Near) -> DataFrame:
     """The pairs (u, v) whose full sets are near."""
 
     def run(batches):
-        open_ = zstandard.ZstdDecompressor()
+        open_ = press.opener()
         last: tuple = (None, None)
 
         def own_set(blob):
-            data = np.frombuffer(open_.decompress(blob), np.uint8)
+            data = np.frombuffer(open_(blob), np.uint8)
             return shingle_sets(data, np.array([0, len(data)]), how.words)[0]
 
         for batch in batches:
@@ -223,20 +209,20 @@ def _centres(members: DataFrame, n: int) -> DataFrame:
     )
 
 
-def class_components(reps: DataFrame, blobs_of, how: Near) -> DataFrame:
+def class_components(reps: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
     """(u, v): the least class ``v`` of the component of each class ``u`` other than it.
 
-    ``reps`` has doc_id and keys of one document of each class; ``blobs_of`` gives the
-    compressed texts of some documents.
+    ``reps`` has doc_id and keys of one document of each class, ``texts`` doc_id and text.
     """
     buckets = reps.select(F.posexplode("keys").alias("band", "bucket"), "doc_id")
     members = stage(_shared(buckets), "buckets")
     some = members.select("doc_id").distinct()
-    blobs = stage(blobs_of(some), "near-texts")
+    press = TextPress(texts)
+    blobs = stage(press.press(texts).join(some, "doc_id", "left_semi"), "near-texts")
     least = members.groupBy("bucket").agg(F.min("doc_id").alias("u"))
     stars = members.select("bucket", F.col("doc_id").alias("v")).join(least, "bucket")
     pairs = stage(_pairs(stars), "pairs")
-    found = components(confirm(pairs, blobs, how))
+    found = components(confirm(pairs, blobs, press, how))
     # Each pair with a bucket's least member is done, so buckets of two are.
     counted = _unsettled(_labelled(members, found))
     members = stage(counted.where("size > 2"), "unsettled")
@@ -248,7 +234,7 @@ def class_components(reps: DataFrame, blobs_of, how: Near) -> DataFrame:
         )
         fresh = stage(_pairs(stars).join(pairs, ["u", "v"], "left_anti"), "pairs")
         pairs = pairs.unionByName(fresh)
-        found = components(found.unionByName(confirm(fresh, blobs, how)))
+        found = components(found.unionByName(confirm(fresh, blobs, press, how)))
         # With so many centres, smaller buckets are fully compared.
         open_ = _unsettled(_labelled(members.select("bucket", "band", "doc_id"), found))
         finer = _split(open_.where(F.col("size") > how.centres + 1), reps)
@@ -278,10 +264,7 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     )
     reps = classes.select(F.col("rep").alias("doc_id"), "keys")
 
-    def blobs_of(some):
-        return compressed(texts).join(some, "doc_id", "left_semi")
-
-    found = class_components(reps, blobs_of, how)
+    found = class_components(reps, texts, how)
     placed = told.select("doc_id", "n", "f1", "f2").join(
         classes.drop("keys"), ["f1", "f2", "n"], "left"
     )

@@ -24,11 +24,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramwise.llm.common import (
+    TextPress,
     mix,
     runs,
     small_batches,
@@ -175,10 +175,9 @@ def _lists(column: pa.ListArray):
     return bounds, column.flatten()
 
 
-def _texts(blobs: pa.Array):
-    open_ = zstandard.ZstdDecompressor()
+def _texts(open_, blobs: pa.Array):
     for blob in blobs:
-        data = open_.decompress(blob.as_py())
+        data = open_(blob.as_py())
         yield data, *_hashed(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
 
 
@@ -188,10 +187,11 @@ _OPEN = (
 )
 
 
-def close(joined: DataFrame, window: int) -> DataFrame:
+def close(joined: DataFrame, press: TextPress, window: int) -> DataFrame:
     """Results of documents without branches; the others keep their text and items."""
 
     def run(batches):
+        open_ = press.opener()
         for batch in batches:
             tags = batch.column("tag").to_numpy()
             items = batch.column("items")
@@ -199,7 +199,7 @@ def close(joined: DataFrame, window: int) -> DataFrame:
             at = flat.field("at").to_numpy()
             branch = flat.field("minimizer").is_valid().to_numpy(zero_copy_only=False)
             n_words, n_removed, digests, waits = [], [], [], []
-            for i, (data, begin, end, _, _) in enumerate(_texts(batch.column("blob"))):
+            for i, (data, begin, end, _, _) in enumerate(_texts(open_, batch.column("blob"))):
                 own = slice(bounds[i], bounds[i + 1])
                 place, before, after = unpack(at[own])
                 mine = place >> _POSITION == tags[i]
@@ -236,17 +236,18 @@ def _positions(waits: list[bool]) -> pa.Array:
     return pa.array([int(k) if w else None for k, w in zip(seen, waits)], pa.int64())
 
 
-def branch_windows(waiting: DataFrame, window: int) -> DataFrame:
+def branch_windows(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
     """(minimizer, words, doc, place) of every window of the branching paths."""
 
     def run(batches):
+        open_ = press.opener()
         for batch in batches:
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             bounds, flat = _lists(batch.column("items"))
             at = flat.field("at").to_numpy()
             keys = flat.field("minimizer").fill_null(0).to_numpy()
             branch = flat.field("minimizer").is_valid().to_numpy(zero_copy_only=False)
-            for i, (_, _, _, _, hashes) in enumerate(_texts(batch.column("blob"))):
+            for i, (_, _, _, _, hashes) in enumerate(_texts(open_, batch.column("blob"))):
                 own = slice(bounds[i], bounds[i + 1])
                 place, before, after = unpack(at[own])
                 mine = branch[own] & (place >> _POSITION == tags[i])
@@ -268,10 +269,11 @@ def branch_windows(waiting: DataFrame, window: int) -> DataFrame:
     return waiting.mapInArrow(run, "minimizer long, words long, doc long, place long")
 
 
-def finish(waiting: DataFrame, window: int) -> DataFrame:
+def finish(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
     """Results of documents with branches, from their items and ``starts``."""
 
     def run(batches):
+        open_ = press.opener()
         for batch in batches:
             tags = batch.column("tag").to_numpy()
             bounds, flat = _lists(batch.column("items"))
@@ -280,7 +282,7 @@ def finish(waiting: DataFrame, window: int) -> DataFrame:
             limits, starts = _lists(batch.column("starts"))
             starts = starts.to_numpy()
             n_removed, digests = [], []
-            for i, (data, begin, end, _, _) in enumerate(_texts(batch.column("blob"))):
+            for i, (data, begin, end, _, _) in enumerate(_texts(open_, batch.column("blob"))):
                 own = slice(bounds[i], bounds[i + 1])
                 place, before, after = unpack(at[own])
                 mine = plain[own] & (place >> _POSITION == tags[i])
@@ -329,19 +331,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
         .agg(F.collect_list(F.struct("at", "minimizer")).alias("items"))
     )
 
-    def press(batches):
-        shut = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            blobs = [shut.compress(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "doc", "tag")], pa.array(blobs, pa.binary())],
-                ["doc_id", "doc", "tag", "blob"],
-            )
-
-    pressed = texts.mapInArrow(press, "doc_id long, doc long, tag int, blob binary")
-    told = stage(close(pressed.join(items, "doc", "left"), window), "substrings")
+    press = TextPress(texts)
+    pressed = press.press(texts)
+    told = stage(close(pressed.join(items, "doc", "left"), press, window), "substrings")
     waiting = told.where("n_removed is null")
-    windows = branch_windows(waiting.select("doc", "tag", "blob", "items"), window)
+    windows = branch_windows(waiting.select("doc", "tag", "blob", "items"), press, window)
     firsts = (
         windows.groupBy("minimizer", "words")
         .agg(F.count("*").alias("times"), F.min(F.struct("doc", "place")).alias("first"))
@@ -354,6 +348,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
         .agg(F.collect_list("place").alias("starts"))
     )
     final = finish(
-        waiting.join(starts, "doc", "left").select("doc_id", "tag", "n_words", "blob", "items", "starts"), window
+        waiting.join(starts, "doc", "left").select("doc_id", "tag", "n_words", "blob", "items", "starts"),
+        press,
+        window,
     )
     return told.where("n_removed is not null").select(*final.columns).unionByName(final)
