@@ -8,6 +8,9 @@ from __future__ import annotations
 
 LOGS_AS_OF = "2000-01-31"
 CHECKS_AS_OF = "2024-01-31"
+# Late enough for the windows of 30 and 90 days to cut rows off.
+RELIABILITY_AS_OF = "2024-02-15"
+AVAILABILITY_AS_OF = "2024-04-15"
 BOOKING_INSTANT = "1996-06-16 00:00:00"
 JOURNEY = ("NATION_11", "NATION_2")
 
@@ -93,7 +96,7 @@ VIEWS = {
     "bookings": """
         select o_orderkey booking_id, o_custkey user_id,
                o_orderkey % (select count(*) from supplier) route_id, o_orderdate ts
-        from orders where o_orderstatus = 'O'""",
+        from orders""",
     "passenger_logs": """
         select l_suppkey route_id, l_shipdate ts,
                cast(40 + (l_partkey * 7) % 200 as int) passengers
@@ -135,6 +138,13 @@ VIEWS = {
 }
 
 
+def deviation(value: str) -> str:
+    """Sample standard deviation from exact sums."""
+    n, x = f"count({value})", f"cast({value} as hugeint)"
+    spread = f"({n} * sum({x} * {x}) - sum({x}) * sum({x}))"
+    return r2(f"sqrt(cast({spread} as double) / nullif({n} * ({n} - 1), 0))")
+
+
 def r2(value: str) -> str:
     """Two digits, half away from zero on decimals."""
     return f"cast(round(cast({value} as decimal(38,10)), 2) as double)"
@@ -189,7 +199,7 @@ RELIABILITY = f"""
            {r2(f"{n_if('ok')} * 100 / cast(count(*) as double)")} reliability_percent,
            {mean('delay', 'not ok and delay > 0')} avg_delay_when_delayed
     from checks join routes using (route_id)
-    where check_time >= timestamp '{CHECKS_AS_OF}' - interval 30 day
+    where check_time >= timestamp '{RELIABILITY_AS_OF}' - interval 30 day
     group by all"""
 
 CONNECTIONS = """
@@ -383,7 +393,7 @@ STATEMENTS = {
     "from named_routes",
     "route_schedules": _schedules(10),
     "schedule_preview": _schedules(20),
-    "route_lookup": "select min(route_id) route_id, route_name from routes "
+    "route_lookup": "select min(route_id) route_id, route_name from named_routes "
     "group by route_name",
     "delay_traffic_light": f"""
     select route_id, avg_delay_min, case when avg_delay_min < 5 then 'green'
@@ -448,7 +458,7 @@ STATEMENTS = {
     with measured as (
         select route_id, count(distinct log_date) n_days, {mean('ride')} ride,
                {mean('planned')} planned, {mean('delay')} delay,
-               {r2('stddev_samp(delay)')} spread, max(delay) worst, min(delay) best,
+               {deviation('delay')} spread, max(delay) worst, min(delay) best,
                avg(passengers) load, max(passengers) fullest,
                {n_if('passengers * 10 >= max_capacity * 9')} crowded,
                {n_if('peak')} peak, {n_if('not peak')} offpeak
@@ -487,7 +497,7 @@ STATEMENTS = {
     "weather_by_route": f"""
     select route_id, route_name, transport_type, weather weather_condition,
            count(*) trip_count, {mean('ride')} avg_duration, {mean('delay')} avg_delay,
-           {r2('stddev_samp(delay)')} delay_std_dev, max(delay) max_delay,
+           {deviation('delay')} delay_std_dev, max(delay) max_delay,
            {mean('passengers')} avg_passengers
     from logs join routes using (route_id) where weather is not null
     group by route_id, route_name, transport_type, weather""",
@@ -515,7 +525,7 @@ STATEMENTS = {
            {state('reason', 'ok', 'delay')} status, delay delay_minutes, reason,
            count(*) status_count
     from checks join routes using (route_id)
-    where cast(check_time as date) >= date '{CHECKS_AS_OF}' - 90
+    where cast(check_time as date) >= date '{AVAILABILITY_AS_OF}' - 90
     group by all""",
     # --- stations -------------------------------------------------------
     "all_stations": "select distinct station_name from stations",
@@ -584,12 +594,12 @@ STATEMENTS = {
     "fare_histogram": """
     with cents as (select cast(base_fare * 100 as bigint) c from named_routes),
          span as (select min(c) lowest, max(c) - min(c) width from cents)
-    select cast(bin as int) bin, (lowest * 20 + bin * width) / cast(2000 as double) lo,
-           (lowest * 20 + (bin + 1) * width) / cast(2000 as double) hi, count(*) n
-    from (select least(coalesce((c - lowest) * 20 // nullif(width, 0), 0), 19) bin,
-                 lowest, width
-          from cents cross join span)
-    group by bin, lowest, width""",
+    select cast(b.bin as int) bin, (lowest * 20 + b.bin * width) / cast(2000 as double) lo,
+           (lowest * 20 + (b.bin + 1) * width) / cast(2000 as double) hi, count(c) n
+    from span cross join range(20) b(bin)
+    left join cents on least(coalesce((c - lowest) * 20 // nullif(width, 0), 0), 19) = b.bin
+    where width > 0 or (width = 0 and b.bin = 0)
+    group by b.bin, lowest, width""",
     "volume_summary": " union all ".join(
         f"select '{name}' as table_name, count(*) n from {view}"
         for name, view in {
@@ -615,7 +625,7 @@ STATEMENTS = {
     with drawn as (select *, md5('42:' || station_id) draw from distinct_feed)
     select * exclude (draw)
     from (from drawn qualify row_number() over (partition by borough order by draw) <= 12)
-    order by borough, draw limit 50""",
+    where borough is not null""",
     "lookup_zone": "select f.*, zone_id from distinct_feed f "
     "left join zones on zone_name = borough",
     "surrogate_keys": "select *, row_number() over (order by substr(md5(station_id), 1, 3), "

@@ -57,14 +57,36 @@ def test_sample_sizes_and_repeatability(spark):
     boroughs = ["Bronx", "Brooklyn", "Queens", "Manhattan", "Staten Island"]
     many = [station(i, boroughs[i % 5]) for i in range(65)]
     cleaned = ingest.clean_feed(raw(spark, *many, station(99, None)))
-    drawn = rows(ingest.stratified_sample(cleaned))
-    assert len(drawn) == 50
-    sizes = [sum(r["borough"] == b for r in drawn) for b in sorted(boroughs)]
-    assert sizes == [12, 12, 12, 12, 2]
-    again = rows(ingest.stratified_sample(cleaned.repartition(7)))
-    assert again == drawn
-    other = rows(ingest.stratified_sample(cleaned, seed=7))
-    assert other != drawn
+    def drawn(frame, **how):
+        return sorted(rows(ingest.stratified_sample(frame, 12, **how)), key=str)
+
+    sizes = [sum(r["borough"] == b for r in drawn(cleaned)) for b in boroughs]
+    assert sizes == [12] * 5
+    assert drawn(cleaned.repartition(7)) == drawn(cleaned)
+    assert drawn(cleaned, seed=7) != drawn(cleaned)
+
+
+def test_faulty_rows_are_set_aside(spark, network):
+    from tramwise.sources import feed
+
+    good = '{"station_id": "1", "stop_name": "A", "borough": "x", "ada": "1", "gtfs_latitude": "1.5"}'
+    no_place = '{"station_id": "2", "stop_name": "B", "gtfs_latitude": "", "gtfs_longitude": "1"}'
+    no_name = '{"station_id": "3"}'
+    odd_mark = '{"station_id": "4", "stop_name": "D", "ada": "yes"}'
+    lines = spark.createDataFrame(
+        [(t,) for t in (good, no_place, no_name, odd_mark, "{broken", "{broken")], "value string"
+    )
+    parsed = feed.parse_feed(lines)
+    loaded = rows(ingest.import_stations(parsed, network.zones))
+    assert sorted(r["station_name"] for r in loaded) == ["A", "D"]
+    assert {r["station_name"]: r["wheelchair_accessible"] for r in loaded} == {"A": True, "D": False}
+    faults = [r["fault"] for r in rows(ingest.feed_rejects(parsed))]
+    assert sorted(faults) == ["bad stop_lat", "no station_id", "no station_id", "no stop_name"]
+
+
+def test_too_many_buckets_are_refused(spark):
+    with pytest.raises(ValueError):
+        ingest.surrogate_keys(spark.range(3), "id", "number", digits=6)
 
 
 def test_ids_are_gapless_and_keep_every_row(spark):
@@ -155,7 +177,7 @@ def test_whole_import(spark, network):
     findings = {(r["table_name"], r["rule"]): r["n"] for r in rows(integrity_audit(t))}
     assert findings and not any(findings.values())
     small = import_network(
-        stations, spark.createDataFrame(stops, STOP_LISTS), network.zones, sample=True
+        stations, spark.createDataFrame(stops, STOP_LISTS), network.zones, sample=12
     )
     assert small.stations.count() == 24
 

@@ -71,6 +71,46 @@ def test_refresh_publishes_whole_snapshots(spark, loaded, tmp_path):
     assert current(spark, base).routes.count() == 1
     refresh(loaded, base, "20000103")
     assert current(spark, base).routes.count() == 3
+    with pytest.raises(ValueError):
+        refresh(loaded, base, "20000103")
+
+
+def test_partial_loads_keep_the_other_tables(spark, loaded, tmp_path):
+    base = str(tmp_path)
+    refresh(loaded, base, "20000105")
+    before = rows(Transit(current(spark, base)).route_summary())
+    # Published last under an earlier stamp, and still the newest.
+    smaller = loaded.routes.filter("route_id < 3")
+    refresh(type(loaded)(routes=smaller), base, "19991231")
+    stored = current(spark, base)
+    assert stored.routes.count() == 2
+    assert rows(Transit(stored).route_summary()) == [r for r in before if r["route_id"] < 3]
+
+
+def test_landed_facts_are_loaded(spark, make, loaded, tmp_path, capsys):
+    base, raw = str(tmp_path / "base"), str(tmp_path / "raw")
+    refresh(loaded, base, "1")
+    facts = make(
+        trips=[
+            {"trip_id": n, "card_id": 1, "route_id": 1, "tap_in_time": datetime(2000, 1, 3, 8 + n)}
+            for n in range(3)
+        ],
+        fare_cards=[{"card_id": 1, "card_number": "CARD_000001", "card_type": "Regular"}],
+    )
+    facts.trips.drop("trip_date", "is_peak_hour").write.parquet(f"{raw}/trips")
+    facts.fare_cards.write.parquet(f"{raw}/fare_cards")
+    run(spark, ["load", "--landed", raw, "--tables", "trips", "fare_cards", "--base", base, "--as-of", "2000-02-01"])
+    assert "3 trips" in capsys.readouterr().out
+    run(spark, ["cards", "--base", base, "--as-of", "2000-02-02"])
+    stored = current(spark, base)
+    assert [r["total_trips"] for r in rows(stored.fare_cards)] == [3]
+    assert sorted(r["is_peak_hour"] for r in rows(stored.trips)) == [False, False, True]
+    assert stored.travel_time_logs.count() == 4
+
+
+def test_records_are_complete(spark, loaded):
+    assert len(to_records(spark.range(2500))) == 2500
+    assert len(to_records(spark.range(2500), 7)) == 7
 
 
 def test_stored_logs_are_pruned_by_date(spark, loaded, tmp_path):
@@ -122,7 +162,8 @@ def test_command_line(spark, loaded, tmp_path, capsys):
     run(spark, ["import", *files, "--base", base, "--as-of", "2000-01-01"])
     assert "420 schedules" in capsys.readouterr().out
     run(spark, ["report", "all_stations", "--base", base, "--limit", "1"])
-    assert capsys.readouterr().out == "{'station_name': 'stop 0'}\n"
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[0] == "{'station_name': 'stop 0'}" and "only the first 1 rows" in shown[1]
 
     refresh(loaded, base, "20000102")
     moment = ["--base", base, "--as-of", AS_OF.isoformat()]

@@ -199,6 +199,8 @@ def test_fare_bands(make, network):
     found = rows(overview.fare_histogram(t, bins=4))
     assert [(r["bin"], r["lo"], r["hi"], r["n"]) for r in found] == [
         (0, 2.0, 2.25, 2),
+        (1, 2.25, 2.5, 0),
+        (2, 2.5, 2.75, 0),
         (3, 2.75, 3.0, 1),
     ]
     same = t.with_(routes=t.routes.filter("base_fare = 2"))

@@ -41,12 +41,37 @@ def test_live_status_equals_batch(spark, tmp_path):
     ).write.mode("append").parquet(landed)
     run()
     live = t.with_(service_availability=status.current_status(spark, out))
-    kinds = spark.read.parquet(out).select("kind", "batch_id").distinct()
+    kinds = spark.read.parquet(f"{out}/run=0").select("kind", "batch_id").distinct()
     assert {tuple(r) for r in kinds.collect()} >= {("snapshot", 2), ("change", 3)}
     both = t.with_(service_availability=t.service_availability.unionByName(extra))
     assert rows(current_service_status(live)) == rows(current_service_status(both))
 
 
+def test_live_status_goes_on_with_a_new_checkpoint(spark, make, tmp_path):
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+
+    def land(*checks):
+        frame = make(service_availability=list(checks)).service_availability
+        frame.coalesce(1).write.mode("append").parquet(landed)
+
+    def run(checkpoint, source):
+        stream = status.read_checks(spark, source, files_per_batch=1)
+        query = status.start_live_status(stream, out, str(tmp_path / checkpoint), snapshot_every=3)
+        assert query.awaitTermination(120)
+        return {r["route_id"]: r["availability_id"] for r in rows(status.current_status(spark, out))}
+
+    for n in range(4):
+        land(check(n, 1, f"2000-01-03 08:1{n}:00"))
+    assert run("one", landed) == {1: 3}
+    land(check(5, 2, "2000-01-03 08:15:00"))
+    landed2 = str(tmp_path / "landed2")
+    make(service_availability=[check(9, 1, "2000-01-03 08:19:00")]).service_availability.write.parquet(landed2)
+    assert run("one", landed) == {1: 3, 2: 5}
+    assert run("two", landed2) == {1: 9, 2: 5}
+    make(service_availability=[check(4, 2, "2000-01-03 08:14:00")]).service_availability.write.mode("append").parquet(landed2)
+    assert run("two", landed2) == {1: 9, 2: 5}
+
+
 def test_daily_ridership_equals_batch_on_closed_days(spark, tmp_path):
     t = star.tables(spark, SF_DIR)
     landed, out = str(tmp_path / "landed"), str(tmp_path / "out")

@@ -3,6 +3,8 @@
     spark-submit -m tramwise export --base <tables> --out <folder>
     spark-submit -m tramwise report <name> --base <tables> [--set days=7 ...]
     spark-submit -m tramwise import --feed <json> --lines <json> --base <tables>
+    spark-submit -m tramwise load --landed <folder> --tables trips ... --base <tables>
+    spark-submit -m tramwise cards --base <tables>
 """
 
 from __future__ import annotations
@@ -13,12 +15,15 @@ from datetime import datetime
 
 from pyspark.sql import SparkSession
 
+from .operators.ingest import feed_rejects
 from .plans.export import export_pack
 from .plans.importer import import_network
+from .plans.load import landed, with_card_statistics
 from .plans.refresh import current, refresh
 from .plans.reports import REPORTS, Transit, to_records
+from .schema import LAYOUTS
 from .session import configure
-from .sources import feed, seed
+from .sources import Tables, feed, seed
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,8 +39,13 @@ def parser() -> argparse.ArgumentParser:
     load = jobs.add_parser("import", help="load stations, routes and timetable")
     load.add_argument("--feed", required=True)
     load.add_argument("--lines", required=True)
-    load.add_argument("--sample", action="store_true")
-    for job in (export, report, load):
+    load.add_argument("--sample", type=int, metavar="STATIONS_PER_BOROUGH")
+    facts = jobs.add_parser("load", help="load landed tables")
+    facts.add_argument("--landed", required=True)
+    facts.add_argument("--tables", nargs="+", required=True, choices=sorted(LAYOUTS))
+    facts.add_argument("--form", choices=("parquet", "json"), default="parquet")
+    cards = jobs.add_parser("cards", help="write card statistics from the trips")
+    for job in (export, report, load, facts, cards):
         job.add_argument("--base", required=True, help="folder of the stored tables")
         job.add_argument("--as-of", type=datetime.fromisoformat, default=None)
     return top
@@ -61,20 +71,34 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
         if given.as_of is not None:
             params["as_of"] = given.as_of
         transit = Transit(current(spark, given.base))
-        for record in transit.records(given.name, given.limit, **params):
+        shown = transit.records(given.name, given.limit + 1, **params)
+        for record in shown[: given.limit]:
             print(record)
-    else:
+        if len(shown) > given.limit:
+            print(f"... only the first {given.limit} rows; --limit shows more")
+    elif given.job == "import":
+        raw = feed.read_feed(spark, given.feed)
         tables = import_network(
-            feed.read_feed(spark, given.feed),
+            raw,
             feed.read_stop_lists(spark, given.lines),
             seed.borough_zones(spark),
             sample=given.sample,
         )
-        stamp = (given.as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
-        refresh(tables, given.base, stamp)
-        stored = Transit(current(spark, given.base))
-        for entry in stored.records("volume_summary"):
-            print(f"{entry['n']:>12} {entry['table_name']}")
+        _publish(spark, tables, given)
+        print(f"{feed_rejects(raw).count():>12} rows of the feed were rejected")
+    elif given.job == "load":
+        _publish(spark, landed(spark, given.landed, given.tables, given.form), given)
+    else:
+        _publish(spark, with_card_statistics(current(spark, given.base)), given)
+
+
+def _publish(spark: SparkSession, tables: Tables, given: argparse.Namespace) -> None:
+    """Store the tables and print the sizes of all that are stored now."""
+    stamp = (given.as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
+    refresh(tables, given.base, stamp)
+    stored = Transit(current(spark, given.base))
+    for entry in stored.records("volume_summary"):
+        print(f"{entry['n']:>12} {entry['table_name']}")
 
 
 def main() -> None:

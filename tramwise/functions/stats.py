@@ -44,8 +44,16 @@ def rounded_mean_if(condition: Column, value: Column) -> Column:
 
 
 def rounded_deviation(value: Column) -> Column:
-    """Sample standard deviation; NULL for a single row."""
-    return rounded(F.stddev_samp(value))
+    """Sample standard deviation of integers; NULL for a single row.
+
+    From exact sums of values and squares, so that the order of the rows and of
+    the tasks cannot move it over a rounding edge.
+    """
+    exact = value.cast("decimal(19,0)")
+    n, total = F.count(value), F.sum(exact).cast("decimal(19,0)")
+    squares = F.sum((exact * exact).cast("decimal(28,0)")).cast("decimal(28,0)")
+    spread = n.cast("decimal(10,0)") * squares - total * total
+    return rounded(F.sqrt(ratio(spread, n * (n - 1))))
 
 
 def share_of_capacity(load: Column, capacity: Column) -> Column:

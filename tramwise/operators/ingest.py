@@ -16,9 +16,7 @@ from .common import top_per_group
 FEED_NAMES = {"gtfs_latitude": "stop_lat", "gtfs_longitude": "stop_lon"}
 FEED_COLUMNS = ("stop_name", "borough", "stop_lat", "stop_lon", "ada")
 
-# fixed values: sizes of the station sample, fare of a new line
-PER_BOROUGH = 12
-SAMPLE_SIZE = 50
+# fixed value: fare of a new line
 NEW_LINE_FARE = "2.75"
 
 
@@ -53,23 +51,21 @@ def distinct_stations(feed: DataFrame) -> DataFrame:
 
 def stratified_sample(
     stations: DataFrame,
+    per_stratum: int,
     stratum: str = "borough",
     key: str = "station_id",
-    per_stratum: int = PER_BOROUGH,
-    size: int = SAMPLE_SIZE,
     seed: int = 42,
 ) -> DataFrame:
-    """At most ``per_stratum`` seeded random rows of each stratum, ``size`` in all.
+    """At most ``per_stratum`` seeded random rows of each known stratum.
 
     Rows are drawn by the hash of seed and key: the draw is the same for any
-    split of the input, and both steps keep only a few rows per task.
+    split of the input, and each task keeps only a few rows of a stratum.
     """
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))
     drawn = stations.withColumn("_draw", draw)
     order = [F.col("_draw").asc(), F.col(key).asc()]
     known = drawn.filter(F.col(stratum).isNotNull())
-    picked = top_per_group(known, [stratum], order, per_stratum)
-    return picked.orderBy(stratum, *order).limit(size).drop("_draw")
+    return top_per_group(known, [stratum], order, per_stratum).drop("_draw")
 
 
 def lookup_zone(stations: DataFrame, zones: DataFrame) -> DataFrame:
@@ -89,9 +85,12 @@ def surrogate_keys(
     A plain row number would sort everything in one task. Here the md5 prefix
     spreads the distinct keys evenly over 16^digits buckets; rows are numbered
     inside their bucket and lifted by the size of the buckets before it. Only
-    that table of bucket sizes, bounded by ``digits``, is kept in one place and
-    broadcast.
+    that table of bucket sizes is kept in one place and broadcast: ``digits`` is
+    at most 4, so it has 65,536 rows at most. The rows are needed twice; store a
+    costly frame first.
     """
+    if not 1 <= digits <= 4:
+        raise ValueError("digits must be from 1 to 4")
     text = F.coalesce(F.col(natural_key).cast("string"), F.lit("")).cast("binary")
     keyed = frame.withColumn("_bucket", F.substring(F.md5(text), 1, digits))
     sizes = keyed.groupBy("_bucket").agg(count_rows().alias("n"))
@@ -124,17 +123,48 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
     return frame.select(*[column(f) for f in fields])
 
 
+def feed_faults(feed: DataFrame) -> DataFrame:
+    """The cleaned feed with ``fault``: why a row cannot be loaded, or NULL.
+
+    A broken line of JSON has neither id nor name. A coordinate may be missing but
+    must be a number if it is there; an empty text is not.
+    """
+    cleaned = clean_feed(feed)
+
+    def bad_number(name: str) -> Column:
+        return F.col(name).isNotNull() & F.col(name).try_cast("double").isNull()
+
+    fault = (
+        F.when(F.col("station_id").isNull(), "no station_id")
+        .when(F.col("stop_name").isNull(), "no stop_name")
+        .when(bad_number("stop_lat"), "bad stop_lat")
+        .when(bad_number("stop_lon"), "bad stop_lon")
+    )
+    return cleaned.withColumn("fault", fault)
+
+
+def sound_rows(feed: DataFrame) -> DataFrame:
+    """Rows of a feed that can be loaded; the others are in :func:`feed_rejects`."""
+    return feed_faults(feed).filter(F.col("fault").isNull()).drop("fault")
+
+
+def feed_rejects(feed: DataFrame) -> DataFrame:
+    """Rows of a feed that cannot be loaded, each with its fault."""
+    return feed_faults(feed).filter(F.col("fault").isNotNull())
+
+
 def import_stations(feed: DataFrame, zones: DataFrame) -> DataFrame:
     """Station rows from a raw feed: one per id, zoned, numbered and typed.
 
-    The accessibility mark of the feed (1 means step-free, missing means not)
-    sets both the elevator and the wheelchair flag.
+    Rows with a fault are left out. The accessibility mark of the feed (1 means
+    step-free, missing or no number means not) sets both the elevator and the
+    wheelchair flag.
     """
-    zoned = lookup_zone(distinct_stations(feed), zones)
+    zoned = lookup_zone(distinct_stations(sound_rows(feed)), zones)
     numbered = surrogate_keys(
         zoned.withColumnRenamed("station_id", "feed_id"), "feed_id", "station_id"
     )
-    step_free = F.coalesce(F.col("ada").cast("int"), F.lit(0)) == 1
+    step_free = F.coalesce(F.col("ada").try_cast("int"), F.lit(0)) == 1
     return numbered.select(
         F.col("station_id").cast("int").alias("station_id"),
         F.col("stop_name").alias("station_name"),
@@ -182,8 +212,6 @@ def routes_from_stop_lists(lines: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
-
-
 def schedule_rows(raw: DataFrame) -> DataFrame:
     """Timetable rows; days may be names or the digits 0 (Sunday) to 6."""
     named = raw.withColumn("day_of_week", weekday_name(F.col("day_of_week")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import ordered
-from ..functions.stats import count_rows, mean, ratio
+from ..functions.stats import count_rows, mean, or_zero, ratio
 from ..sources.tables import Tables
 from .routes import all_routes
 
@@ -33,9 +33,9 @@ def routes_by_type(t: Tables) -> DataFrame:
 def fare_histogram(t: Tables, bins: int = 20) -> DataFrame:
     """Listed routes per fare band: ``bins`` bands of equal width.
 
-    Empty bands are left out. A fare on the upper edge belongs to the last
-    band; if all fares are equal there is one band. Bands are found in whole
-    cents, so a fare on an edge never slips into the band below.
+    Empty bands are listed with zero. A fare on the upper edge belongs to the
+    last band; if all fares are equal there is one band. Bands are found in
+    whole cents, so a fare on an edge never slips into the band below.
     """
     listed = all_routes(t, sort=False).filter(F.col("base_fare").isNotNull())
     cents = listed.select((F.col("base_fare") * 100).cast("bigint").alias("cents"))
@@ -48,18 +48,24 @@ def fare_histogram(t: Tables, bins: int = 20) -> DataFrame:
     counted = (
         cents.select("cents", bounds.alias("bounds"))
         .select("cents", "bounds.lowest", "bounds.span")
-        .groupBy(band.cast("int").alias("bin"), "lowest", "span")
+        .groupBy(band.cast("int").alias("bin"))
         .agg(count_rows().alias("n"))
     )
+    bands = (
+        cents.agg(least.alias("lowest"), (most - least).alias("span"))
+        .filter(F.col("lowest").isNotNull())
+        .withColumn("last", F.when(F.col("span") == 0, 0).otherwise(bins - 1))
+        .select("lowest", "span", F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
+    )
 
     def edge(number) -> Column:
         return ratio(F.col("lowest") * bins + number * F.col("span"), F.lit(bins * 100))
 
-    return counted.select(
+    return bands.join(counted, "bin", "left").select(
         "bin",
         edge(F.col("bin")).alias("lo"),
         edge(F.col("bin") + 1).alias("hi"),
-        "n",
+        or_zero(F.col("n")).alias("n"),
     )
 
 

@@ -93,12 +93,18 @@ def route_by_stations(
         equals("start_station", start),
         equals("end_station", end),
     )
-    measured = t.travel_time_logs.groupBy("route_id").agg(
+    logs, all_checks = t.travel_time_logs, t.service_availability
+    if start is not None or end is not None:
+        # A search for a few routes leaves the facts of all others unread or unsummed.
+        wanted = routes.select("route_id")
+        logs = logs.join(wanted, "route_id", "left_semi")
+        all_checks = all_checks.join(wanted, "route_id", "left_semi")
+    measured = logs.groupBy("route_id").agg(
         mean(ride_minutes()).alias("mean_time"),
         mean(delay()).alias("mean_delay"),
         count_rows().alias("n_logs"),
     )
-    recent = t.service_availability.filter(
+    recent = all_checks.filter(
         F.col("check_time") >= first_instant(as_of, days=7)
     )
     checks = recent.groupBy("route_id").agg(
@@ -133,11 +139,12 @@ def alternative_routes(
     measured makes the total time and delay NULL.
     """
     routes = with_station_names(t, only(t.routes, accessible_only(wheelchair)))
-    means = route_means(t.travel_time_logs)
     first = _leg(routes.filter(F.col("start_station") == start), 1)
     second = _leg(routes.filter(F.col("end_station") == end), 2)
     meet = (F.col("to1") == F.col("from2")) & (F.col("id1") != F.col("id2"))
     pairs = first.join(second, meet)
+    legs = pairs.select(F.explode(F.array("id1", "id2")).alias("route_id")).distinct()
+    means = route_means(t.travel_time_logs.join(legs, "route_id", "left_semi"))
     for n in (1, 2):
         leg_means = means.select(
             F.col("route_id").alias(f"id{n}"),
@@ -236,11 +243,14 @@ def schedule_preview(t: Tables, limit: int = 20, sort: bool = True) -> DataFrame
 def route_lookup(
     t: Tables, route_name: str | None = None, sort: bool = True
 ) -> DataFrame:
-    """Lowest route id of a name; for ``None``, of every name, oldest first."""
-    routes = only(t.routes, equals("route_name", route_name))
+    """Lowest route id of a listed name; for ``None``, of every name, by name.
+
+    Listed are the routes of :func:`all_routes`, those with known stations.
+    """
+    routes = with_station_names(t, only(t.routes, equals("route_name", route_name)))
     found = routes.groupBy("route_name").agg(F.min("route_id").alias("route_id"))
     found = found.select("route_id", "route_name")
-    return found.orderBy(rising("route_id")) if sort else found
+    return found.orderBy(rising("route_name")) if sort else found
 
 
 @ordered("route_id")

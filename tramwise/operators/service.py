@@ -38,7 +38,8 @@ def latest_checks(checks: DataFrame) -> DataFrame:
     """
     at = F.col("check_time")
     age = F.struct(at.isNull().alias("unknown"), at, F.col("availability_id"))
-    newest = F.max_by(F.struct(*CHECK_COLUMNS), age).alias("newest")
+    kept = [c for c in (*CHECK_COLUMNS, "current_capacity") if c in checks.columns]
+    newest = F.max_by(F.struct(*kept), age).alias("newest")
     return checks.groupBy("route_id").agg(newest).select("route_id", "newest.*")
 
 

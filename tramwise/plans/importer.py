@@ -9,6 +9,7 @@ from ..operators.ingest import (
     distinct_stations,
     import_stations,
     routes_from_stop_lists,
+    sound_rows,
     stratified_sample,
     surrogate_keys,
 )
@@ -17,15 +18,14 @@ from ..sources.tables import Tables
 
 
 def import_network(
-    feed: DataFrame, lines: DataFrame, zones: DataFrame, sample: bool = False
+    feed: DataFrame, lines: DataFrame, zones: DataFrame, sample: int | None = None
 ) -> Tables:
     """Zones, stations, routes and timetable.
 
-    ``sample=True`` loads the small demonstration set of stations instead of
-    all of the feed.
+    ``sample`` loads so many stations of each borough instead of all of the feed.
     """
-    if sample:
-        feed = stratified_sample(distinct_stations(feed))
+    if sample is not None:
+        feed = stratified_sample(distinct_stations(sound_rows(feed)), sample)
     stations = conform(import_stations(feed, zones), "stations")
     found = routes_from_stop_lists(lines, stations)
     routes = conform(surrogate_keys(found, "line_id", "route_id"), "routes")

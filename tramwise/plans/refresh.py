@@ -1,22 +1,25 @@
-"""Full refresh of the stored tables.
-
-Every refresh writes a new snapshot next to the old one and then records it in
-one small file. Readers follow the newest record, so they see either the old
-tables or all the new ones, and a refresh that dies half-way leaves no trace
-but unused files. Repeating it with the same stamp overwrites them.
+"""Loads into the stored tables.
+
+Every load writes a snapshot of the tables it is given next to the older ones and
+then records in one small file which snapshot each table is to be read from. Tables
+that a load does not bring stay as they are. Readers follow the newest record, by its
+number, so they see either the old tables or all the new ones, and a load that dies
+half-way leaves no trace but unused files. A stamp names the folder of a snapshot and
+can be published once; what an unpublished one left behind is overwritten.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LAYOUTS, LOAD_ORDER, PARTITION_COLUMNS
 from ..sources.tables import Tables
 
-COMMITS = "stamp STRING, tables ARRAY<STRING>"
+COMMITS = "number BIGINT, stamp STRING, tables MAP<STRING, STRING>"
 
 
 def laid_out(frame: DataFrame, name: str) -> DataFrame:
@@ -38,29 +41,44 @@ def refresh(t: Tables, base: str, stamp: str) -> list[str]:
     frames = t.present()
     names = [n for n in LOAD_ORDER if n in frames]
     names += [n for n in frames if n not in names]
+    spark = next(iter(frames.values())).sparkSession
+    last = _newest(spark, base, stamp)
     for name in names:
         writer = laid_out(frames[name], name).write.mode("overwrite")
         if name in PARTITION_COLUMNS:
             writer = writer.partitionBy(PARTITION_COLUMNS[name])
         writer.parquet(_snapshot(base, stamp, name))
-    spark = next(iter(frames.values())).sparkSession
-    commit = spark.createDataFrame([(stamp, names)], COMMITS).coalesce(1)
+    number, earlier = (last["number"] + 1, last["tables"]) if last else (0, {})
+    tables = earlier | dict.fromkeys(names, stamp)
+    commit = spark.createDataFrame([(number, stamp, tables)], COMMITS).coalesce(1)
     commit.write.mode("append").json(f"{base}/_commits")
     return names
 
 
 def current(spark: SparkSession, base: str) -> Tables:
-    """The tables of the newest published snapshot."""
-    commits = spark.read.schema(COMMITS).json(f"{base}/_commits")
-    newest = commits.orderBy(F.col("stamp").desc()).first()
+    """The tables as last published."""
+    newest = _newest(spark, base)
     if newest is None:
         raise FileNotFoundError(f"nothing was published under {base}")
 
-    def stored(name: str) -> DataFrame:
-        path = _snapshot(base, newest["stamp"], name)
+    def stored(name: str, stamp: str) -> DataFrame:
+        path = _snapshot(base, stamp, name)
         return spark.read.schema(LAYOUTS[name]).parquet(path)
 
-    return Tables(**{name: partial(stored, name) for name in newest["tables"]})
+    return Tables(**{n: partial(stored, n, stamp) for n, stamp in newest["tables"].items()})
+
+
+def _newest(spark: SparkSession, base: str, stamp: str | None = None) -> Row | None:
+    """The record of the highest number; refuses a ``stamp`` that has one."""
+    try:
+        commits = spark.read.schema(COMMITS).json(f"{base}/_commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if stamp is not None and not commits.filter(F.col("stamp") == stamp).isEmpty():
+        raise ValueError(f"{stamp} is published; its files may be in use")
+    return commits.orderBy(F.col("number").desc()).first()
 
 
 def _snapshot(base: str, stamp: str, name: str) -> str:

@@ -123,14 +123,20 @@ class Transit:
         name = self.tables.names()[0]
         return getattr(self.tables, name).sparkSession
 
-    def records(self, name: str, limit: int = 1000, **params) -> list[dict]:
-        """Up to ``limit`` rows of a report as dictionaries on the driver."""
+    def records(self, name: str, limit: int | None = None, **params) -> list[dict]:
+        """The rows of a report as dictionaries, all of them or the first ``limit``."""
         return to_records(getattr(self, name)(**params), limit)
 
 
-def to_records(frame: DataFrame, limit: int = 1000) -> list[dict]:
-    """The first rows as dictionaries; meant for screens, not for data."""
-    return [row.asDict() for row in frame.limit(limit).collect()]
+def to_records(frame: DataFrame, limit: int | None = None) -> list[dict]:
+    """All rows, or the first ``limit``, as dictionaries on the driver.
+
+    Rows come one partition after the other. For tables that do not fit there,
+    write the frame or go through its ``toLocalIterator``.
+    """
+    if limit is not None:
+        return [row.asDict() for row in frame.limit(limit).collect()]
+    return [row.asDict() for row in frame.toLocalIterator()]
 
 
 def first_record(frame: DataFrame) -> dict:

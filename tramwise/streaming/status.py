@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.service import latest_checks
 from ..schema import SERVICE_AVAILABILITY
 from ..session import checkpoint_root
 
+#: Columns of the stored status; those of a check, the route first.
+STATUS = (
+    "route_id BIGINT, availability_id BIGINT, check_time TIMESTAMP_NTZ, "
+    "is_operational BOOLEAN, delay_minutes INT, reason STRING, current_capacity INT"
+)
+
 
 def read_checks(
     spark: SparkSession, path: str, files_per_batch: int = 1000
@@ -36,18 +41,27 @@ def start_live_status(
     the changes, so that readers never go back further than that. A batch that
     is run again after a failure replaces its own folder. The default
     checkpoint lies in the shared folder of the session.
+
+    Batches are numbered by the checkpoint. With a new checkpoint on the same
+    ``out`` they start over in a run of their own, whose first snapshot takes in
+    what the runs before had.
     """
     spark = checks.sparkSession
     location = checkpoint or f"{checkpoint_root(spark)}/live_status"
 
+    runs = _numbers(spark, out, "run")
+    fresh = not _numbers(spark, f"{location}/commits") and not _numbers(spark, f"{location}/offsets")
+    run = max(runs, default=-1) + 1 if fresh else max(runs, default=0)
+
     def write(batch: DataFrame, number: int) -> None:
         kind = "change"
         if number % snapshot_every == 0:
             kind = "snapshot"
-            if number > 0:
-                earlier = current_status(spark, out, before=number)
-                batch = latest_checks(earlier.unionByName(batch))
-        batch.write.mode("overwrite").parquet(f"{out}/kind={kind}/batch_id={number}")
+            if number > 0 or run > 0:
+                earlier = current_status(spark, out, before=(run, number))
+                if earlier is not None:
+                    batch = latest_checks(earlier.unionByName(batch))
+        batch.write.mode("overwrite").parquet(f"{out}/run={run}/kind={kind}/batch_id={number}")
 
     return (
         latest_checks(checks)
@@ -60,16 +74,39 @@ def start_live_status(
 
 
 def current_status(
-    spark: SparkSession, out: str, before: int | None = None
-) -> DataFrame:
+    spark: SparkSession, out: str, before: tuple[int, int] | None = None
+) -> DataFrame | None:
     """Newest status per route, from the last snapshot and the changes since.
 
     Its rows serve as ``service_availability`` for every report on the current
-    status. ``before`` looks at the batches before that number only.
+    status. Only the folders since the last snapshot are listed and read.
+    ``before`` looks at batches before that (run, number); with none it is ``None``.
     """
-    stored = spark.read.parquet(out)
-    if before is not None:
-        stored = stored.filter(F.col("batch_id") < before)
-    snapshots = stored.filter(F.col("kind") == "snapshot")
-    last = snapshots.agg(F.max("batch_id")).scalar()
-    return latest_checks(stored.filter(F.col("batch_id") >= last))
+    found = []
+    for run in sorted(_numbers(spark, out, "run"), reverse=True):
+        for kind in ("snapshot", "change"):
+            for number in _numbers(spark, f"{out}/run={run}/kind={kind}", "batch_id"):
+                if before is None or (run, number) < before:
+                    found.append((run, number, kind))
+        if any(kind == "snapshot" for _, _, kind in found):
+            break
+    if not found:
+        return None
+    last = max((run, number) for run, number, kind in found if kind == "snapshot")
+    paths = [
+        f"{out}/run={run}/kind={kind}/batch_id={number}"
+        for run, number, kind in found
+        if (run, number) >= last
+    ]
+    return latest_checks(spark.read.schema(STATUS).parquet(*paths))
+
+
+def _numbers(spark: SparkSession, path: str, name: str = "") -> list[int]:
+    """Numbers in the names of the entries of a folder, ``name=7`` or ``7``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    entries = [entry.getPath().getName() for entry in files.listStatus(folder)]
+    texts = [e.removeprefix(f"{name}=") for e in entries if not name or e.startswith(f"{name}=")]
+    return [int(t) for t in texts if t.isdigit()]
