@@ -136,7 +136,7 @@ def test_near_duplicates_as_brute_force(small, small_docs):
 
 
 def test_near_duplicates_of_chains(spark):
-    """Neighbours of a chain are near, its ends are not; buckets need further stars."""
+    """Neighbours of a chain are near, its ends are not; buckets need further rounds."""
     import random
 
     draw = random.Random(5)
@@ -150,7 +150,7 @@ def test_near_duplicates_of_chains(spark):
             text[draw.randrange(60)] = f"c{chain}s{step}"
     draw.shuffle(rows)
     rows = list(enumerate(t for _, t in rows))
-    frame = minhash.near_duplicates(make_docs(spark, rows), minhash.Near(words=2, centres=2))
+    frame = minhash.near_duplicates(make_docs(spark, rows), minhash.Near(words=2, large=8))
     assert near(frame) == brute_components(rows, 2)
 
 

@@ -6,11 +6,12 @@ densification), so small sets lose nothing. Bins are read in bands; documents th
 agree in a band share a bucket. Documents with equal sets are one class from the
 start and take part once.
 
-Within a bucket only a star is compared: the least document with each other one. Links
-are confirmed on the full sets. A bucket whose members then lie in one component is
-settled. In the others further stars are compared, between components only; large ones
-are split by a second band first, which near-duplicates share many of. This goes on
-until every bucket is settled or fully compared.
+Within a bucket only a star is compared: its best connected document with each other
+one. Links are confirmed on the full sets. A bucket whose members then lie in one
+component is settled. In the others, rounds follow that compare neighbours in the order
+of two further bands, between components only, each round with other bands: the nearest
+documents agree in the most bands and come to stand side by side. A round adds at most
+one pair for each member. Rounds go on until two in a row find no link.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class Near:
     percent: int = 80  # least similarity
     rows: int = 5  # bins of a band
     bands: int = 36
-    centres: int = 8  # of a further star
+    large: int = 64  # members of a large bucket
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -186,26 +187,28 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(again, "bucket")
 
 
-def _split(members: DataFrame, keys: DataFrame) -> DataFrame:
-    """Buckets by one more band, later than the last, where at least two members agree."""
-    finer = (
-        members.select("bucket", "doc_id", F.col("band").alias("after"))
-        .join(keys, "doc_id")
-        .select("doc_id", "bucket", "after", F.posexplode("keys").alias("band", "key"))
-        .where("band > after")
-        .select(F.xxhash64("bucket", "key").alias("bucket"), "band", "doc_id")
-        .distinct()
-    )
-    return _shared(finer)
-
+def _neighbours(members: DataFrame, reps: DataFrame, turn: int, how: Near) -> DataFrame:
+    """(u, v): members next to each other in their bucket that lie in two components.
 
-def _centres(members: DataFrame, n: int) -> DataFrame:
-    """(bucket, u, pu): the ``n`` members of each bucket with the least hashes."""
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "doc_id"), "doc_id")
+    The order is that of two bands which change from turn to turn. In a large bucket
+    only members that agree in the first of them meet.
+    """
+    one, two = (F.get("keys", F.lit(k % how.bands)) for k in (7 * turn + 1, 11 * turn + 5))
+    keys = reps.select("doc_id", one.alias("one"), two.alias("two")).groupBy("doc_id").agg(
+        F.min("one").alias("one"), F.min("two").alias("two")
+    )
+    large = F.when(F.col("size") > how.large, F.col("one"))
+    order = Window.partitionBy("bucket", "large").orderBy("one", "two", F.xxhash64("bucket", "doc_id"))
     return (
-        members.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= n)
-        .select("bucket", F.col("doc_id").alias("u"), F.col("part").alias("pu"))
+        members.join(keys, "doc_id")
+        .withColumn("large", large)
+        .select(
+            F.col("doc_id").alias("v"),
+            "part",
+            F.lag("doc_id").over(order).alias("u"),
+            F.lag("part").over(order).alias("before"),
+        )
+        .where("part != before")
     )
 
 
@@ -214,31 +217,38 @@ def class_components(reps: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
 
     ``reps`` has doc_id and keys of one document of each class, ``texts`` doc_id and text.
     """
-    buckets = reps.select(F.posexplode("keys").alias("band", "bucket"), "doc_id")
+    buckets = reps.select(F.explode("keys").alias("bucket"), "doc_id")
     members = stage(_shared(buckets), "buckets")
     some = members.select("doc_id").distinct()
     press = TextPress(texts)
     blobs = stage(press.press(texts).join(some, "doc_id", "left_semi"), "near-texts")
-    least = members.groupBy("bucket").agg(F.min("doc_id").alias("u"))
-    stars = members.select("bucket", F.col("doc_id").alias("v")).join(least, "bucket")
+    # The centre is the member that shares its buckets with most others.
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    known = members.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("met"))
+    centres = (
+        members.join(known, "doc_id")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("met", (-F.col("doc_id")).alias("u"))).alias("c"))
+        .select("bucket", (-F.col("c.u")).alias("u"))
+    )
+    stars = members.select("bucket", F.col("doc_id").alias("v")).join(centres, "bucket")
     pairs = stage(_pairs(stars), "pairs")
-    found = components(confirm(pairs, blobs, press, how))
-    # Each pair with a bucket's least member is done, so buckets of two are.
-    counted = _unsettled(_labelled(members, found))
-    members = stage(counted.where("size > 2"), "unsettled")
-    while not members.isEmpty():
-        stars = (
-            members.select("bucket", F.col("doc_id").alias("v"), "part")
-            .join(_centres(members, how.centres), "bucket")
-            .where("part != pu")
-        )
-        fresh = stage(_pairs(stars).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    links = stage(confirm(pairs, blobs, press, how), "near-links")
+    found = components(links)
+    # Each pair with a bucket's centre is done, so buckets of two are.
+    open_ = stage(_unsettled(_labelled(members, found)).where("size > 2"), "unsettled")
+    turn = idle = 0
+    while idle < 2 and not open_.isEmpty():
+        turn += 1
+        near = _pairs(_neighbours(open_, reps, turn, how))
+        fresh = stage(near.join(pairs, ["u", "v"], "left_anti"), "pairs")
         pairs = pairs.unionByName(fresh)
-        found = components(found.unionByName(confirm(fresh, blobs, press, how)))
-        # With so many centres, smaller buckets are fully compared.
-        open_ = _unsettled(_labelled(members.select("bucket", "band", "doc_id"), found))
-        finer = _split(open_.where(F.col("size") > how.centres + 1), reps)
-        members = stage(_unsettled(_labelled(finer, found)), "unsettled")
+        links = stage(confirm(fresh, blobs, press, how), "near-links")
+        idle = idle + 1 if links.isEmpty() else 0
+        if not idle:
+            found = components(found.unionByName(links))
+            left = _unsettled(_labelled(open_.select("bucket", "doc_id"), found))
+            open_ = stage(left, "unsettled")
     return found
 
 
