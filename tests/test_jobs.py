@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 from conftest import check, log, rows
+from pyspark.sql import functions as F
 
 from tramwise import Transit
 from tramwise.__main__ import run
@@ -40,7 +41,7 @@ def read_csv(folder):
 
 
 def test_export_pack(loaded, tmp_path):
-    manifest = rows(export_pack(loaded, str(tmp_path), AS_OF))
+    manifest = rows(export_pack(loaded, str(tmp_path), AS_OF, sort=True))
     assert [r["dataset"] for r in manifest] == list(DATASETS)
     counts = {r["dataset"]: r["rows"] for r in manifest}
     assert counts["route_performance"] == 5  # one of four logs meets two checks
@@ -124,6 +125,24 @@ def test_stored_logs_are_pruned_by_date(spark, loaded, tmp_path):
     assert len(rows(trend)) == 1
 
 
+def test_stored_checks_lie_in_order_of_time(spark, make, tmp_path):
+    many = make(service_availability=[check(n, n % 5, f"2000-01-{1 + n % 28:02} 08:00:00") for n in range(400)])
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        refresh(many, str(tmp_path), "1")
+    finally:
+        spark.conf.set(merging, "true")
+    stored = current(spark, str(tmp_path)).service_availability
+    spans = sorted(
+        (r["first"], r["last"])
+        for r in stored.groupBy(F.input_file_name().alias("file"))
+        .agg(F.min("check_time").alias("first"), F.max("check_time").alias("last"))
+        .collect()
+    )
+    assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_plain_parquet_tables(spark, loaded, tmp_path):
     loaded.routes.drop("active").write.parquet(f"{tmp_path}/routes")
     t = from_parquet(spark, str(tmp_path), ["routes"])

@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     jobs = top.add_subparsers(dest="job", required=True)
     export = jobs.add_parser("export", help="write the export pack")
     export.add_argument("--out", required=True)
-    export.add_argument("--unsorted", action="store_true")
+    export.add_argument("--sorted", action="store_true")
     report = jobs.add_parser("report", help="print the first rows of a report")
     report.add_argument("name", choices=sorted(REPORTS))
     report.add_argument("--limit", type=int, default=20)
@@ -63,7 +63,7 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     given = parser().parse_args(arguments)
     if given.job == "export":
         tables = current(spark, given.base)
-        manifest = export_pack(tables, given.out, given.as_of, sort=not given.unsorted)
+        manifest = export_pack(tables, given.out, given.as_of, sort=given.sorted)
         for entry in to_records(manifest):
             print(f"{entry['rows']:>12} {entry['path']}")
     elif given.job == "report":

@@ -49,10 +49,19 @@ def rounded_deviation(value: Column) -> Column:
     From exact sums of values and squares, so that the order of the rows and of
     the tasks cannot move it over a rounding edge.
     """
-    exact = value.cast("decimal(19,0)")
-    n, total = F.count(value), F.sum(exact).cast("decimal(19,0)")
-    squares = F.sum((exact * exact).cast("decimal(28,0)")).cast("decimal(28,0)")
-    spread = n.cast("decimal(10,0)") * squares - total * total
+    return deviation(F.count(value), F.sum(value), sum_of_squares(value))
+
+
+def sum_of_squares(value: Column) -> Column:
+    """Exact, for 32-bit integers."""
+    exact = value.cast("decimal(10,0)")
+    return F.sum((exact * exact).cast("decimal(20,0)"))
+
+
+def deviation(n: Column, total: Column, squares: Column) -> Column:
+    """Sample standard deviation from a count and exact sums; NULL below two rows."""
+    total = total.cast("decimal(18,0)")
+    spread = n.cast("decimal(14,0)") * squares.cast("decimal(24,0)") - total * total
     return rounded(F.sqrt(ratio(spread, n * (n - 1))))
 
 

@@ -12,6 +12,7 @@ from ..functions.labels import delay_category
 from ..functions.order import ordered
 from ..functions.stats import (
     count_rows,
+    deviation,
     mean,
     minutes,
     or_zero,
@@ -21,6 +22,7 @@ from ..functions.stats import (
     rounded_mean,
     rounded_mean_if,
     share_of_capacity,
+    sum_of_squares,
 )
 from ..sources.tables import Tables
 from .common import (
@@ -35,13 +37,28 @@ from .common import (
 )
 
 
-def _days_logged(logs: DataFrame, name: str) -> DataFrame:
-    """Distinct days per route, in a pass of its own.
+def _per_route(logs: DataFrame, means: dict[str, Column], *totals: tuple) -> DataFrame:
+    """Means, totals and the days with logs of every route, in one scan.
 
-    Counted next to the other measures, every buffer of theirs would be
-    shuffled once per route and day; alone, only the two keys are.
+    Logs are summed by route and day, then by route, where counting days is counting
+    rows. On files laid out by date a task has few days, so that little is shuffled.
+    ``totals`` are (name, measure per day, function over the days). Means are left
+    as exact sums and counts: ``sum_<name>`` and ``n_<name>``.
     """
-    return logs.groupBy("route_id").agg(F.count_distinct("log_date").alias(name))
+    daily = logs.groupBy("route_id", "log_date").agg(
+        *[F.sum(v).alias(f"sum_{n}") for n, v in means.items()],
+        *[F.count(v).alias(f"n_{n}") for n, v in means.items()],
+        *[measure.alias(name) for name, measure, _ in totals],
+    )
+    return daily.groupBy("route_id").agg(
+        F.count("log_date").alias("days_tracked"),
+        *[F.sum(f"{part}_{n}").alias(f"{part}_{n}") for n in means for part in ("sum", "n")],
+        *[over(name).alias(name) for name, _, over in totals],
+    )
+
+
+def _mean_of(name: str) -> Column:
+    return ratio(F.col(f"sum_{name}"), F.col(f"n_{name}"))
 
 
 @ordered("route_id")
@@ -49,28 +66,29 @@ def route_stats(t: Tables, route_id: int | None = None) -> DataFrame:
     """Key figures per route; one call serves a single route or all of them."""
     wanted = equals("route_id", route_id)
     logs = only(t.travel_time_logs, wanted)
-    measures = logs.groupBy("route_id").agg(
-        rounded_mean(ride_minutes()).alias("avg_duration_min"),
-        rounded_mean(delay()).alias("avg_delay_min"),
-        rounded_mean_if(in_peak(), delay()).alias("peak_delay_min"),
-        rounded_mean_if(~in_peak(), delay()).alias("offpeak_delay_min"),
-        F.max(delay()).alias("max_delay_min"),
-        mean(passengers()).alias("load"),
+    measures = _per_route(
+        logs,
+        {
+            "ride": ride_minutes(),
+            "delay": delay(),
+            "peak": F.when(in_peak(), delay()),
+            "offpeak": F.when(~in_peak(), delay()),
+            "load": passengers(),
+        },
+        ("max_delay_min", F.max(delay()), F.max),
     )
     routes = only(route_identity(t, "distance_km", "max_capacity"), wanted)
-    found = routes.join(measures, "route_id", "left").join(
-        _days_logged(logs, "days_tracked"), "route_id", "left"
-    )
+    found = routes.join(measures, "route_id", "left")
     return found.select(
         *routes.columns,
         or_zero(F.col("days_tracked")).alias("days_tracked"),
-        "avg_duration_min",
-        "avg_delay_min",
-        "peak_delay_min",
-        "offpeak_delay_min",
+        rounded(_mean_of("ride")).alias("avg_duration_min"),
+        rounded(_mean_of("delay")).alias("avg_delay_min"),
+        rounded(_mean_of("peak")).alias("peak_delay_min"),
+        rounded(_mean_of("offpeak")).alias("offpeak_delay_min"),
         "max_delay_min",
-        rounded(F.col("load")).alias("avg_passengers"),
-        share_of_capacity(F.col("load"), F.col("max_capacity")).alias(
+        rounded(_mean_of("load")).alias("avg_passengers"),
+        share_of_capacity(_mean_of("load"), F.col("max_capacity")).alias(
             "utilization_percent"
         ),
     )
@@ -228,19 +246,20 @@ def route_summary(t: Tables) -> DataFrame:
     log to its route, the logs are counted by (route, load) and the few counts
     are compared with the capacity.
     """
-    measures = t.travel_time_logs.groupBy("route_id").agg(
-        rounded_mean(ride_minutes()).alias("avg_duration_min"),
-        rounded_mean(minutes("scheduled_duration_minutes")).alias(
-            "scheduled_duration_min"
-        ),
-        rounded_mean(delay()).alias("avg_delay_min"),
-        rounded_deviation(delay()).alias("delay_std_dev"),
-        F.max(delay()).alias("max_delay_min"),
-        F.min(delay()).alias("min_delay_min"),
-        mean(passengers()).alias("load"),
-        F.max(passengers()).alias("max_passengers"),
-        F.count_if(in_peak()).alias("n_peak"),
-        F.count_if(~in_peak()).alias("n_offpeak"),
+    measures = _per_route(
+        t.travel_time_logs,
+        {
+            "ride": ride_minutes(),
+            "planned": minutes("scheduled_duration_minutes"),
+            "delay": delay(),
+            "load": passengers(),
+        },
+        ("squares", sum_of_squares(delay()), F.sum),
+        ("max_delay_min", F.max(delay()), F.max),
+        ("min_delay_min", F.min(delay()), F.min),
+        ("max_passengers", F.max(passengers()), F.max),
+        ("n_peak", F.count_if(in_peak()), F.sum),
+        ("n_offpeak", F.count_if(~in_peak()), F.sum),
     )
     capacity = t.routes.select("route_id", "max_capacity")
     crowded = (
@@ -254,7 +273,6 @@ def route_summary(t: Tables) -> DataFrame:
     routes = with_station_names(t, t.routes, zones=True)
     return (
         routes.join(measures, "route_id", "left")
-        .join(_days_logged(t.travel_time_logs, "days_with_data"), "route_id", "left")
         .join(crowded, "route_id", "left")
         .select(
             "route_id",
@@ -268,15 +286,17 @@ def route_summary(t: Tables) -> DataFrame:
             "base_fare",
             "max_capacity",
             "wheelchair_accessible",
-            or_zero(F.col("days_with_data")).alias("days_with_data"),
-            "avg_duration_min",
-            "scheduled_duration_min",
-            "avg_delay_min",
-            "delay_std_dev",
+            or_zero(F.col("days_tracked")).alias("days_with_data"),
+            rounded(_mean_of("ride")).alias("avg_duration_min"),
+            rounded(_mean_of("planned")).alias("scheduled_duration_min"),
+            rounded(_mean_of("delay")).alias("avg_delay_min"),
+            deviation(F.col("n_delay"), F.col("sum_delay"), F.col("squares")).alias(
+                "delay_std_dev"
+            ),
             "max_delay_min",
             "min_delay_min",
-            rounded(F.col("load")).alias("avg_passengers"),
-            share_of_capacity(F.col("load"), F.col("max_capacity")).alias(
+            rounded(_mean_of("load")).alias("avg_passengers"),
+            share_of_capacity(_mean_of("load"), F.col("max_capacity")).alias(
                 "avg_utilization_percent"
             ),
             "max_passengers",

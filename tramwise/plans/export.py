@@ -41,13 +41,13 @@ def export_pack(
     out: str,
     as_of: datetime | None = None,
     only: Iterable[str] = tuple(DATASETS),
-    sort: bool = True,
+    sort: bool = False,
 ) -> DataFrame:
     """Write the data sets to ``out/<stamp>/<data set>`` and list them.
 
     ``as_of`` names the stamp and bounds the look-back window; writing the same
-    stamp again replaces its files. ``sort=False`` saves the range shuffle of
-    the wide row-level set.
+    stamp again replaces its files. ``sort=True`` orders the rows of every set, at
+    the price of a range shuffle of the wide row-level one.
     """
     stamp = (as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
     written = []

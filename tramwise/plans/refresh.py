@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import LAYOUTS, LOAD_ORDER, PARTITION_COLUMNS
+from ..schema import LAYOUTS, LOAD_ORDER, PARTITION_COLUMNS, TIME_COLUMNS
 from ..sources.tables import Tables
 
 COMMITS = "number BIGINT, stamp STRING, tables MAP<STRING, STRING>"
@@ -28,6 +28,11 @@ def laid_out(frame: DataFrame, name: str) -> DataFrame:
     Rebalancing lets adaptive execution split a date that is far larger than
     the others over several tasks, and merge the small ones.
     """
+    if name in TIME_COLUMNS:
+        # Files of disjoint spans of time: readers skip those outside their bounds.
+        return frame.repartitionByRange(TIME_COLUMNS[name], "route_id").sortWithinPartitions(
+            TIME_COLUMNS[name], "route_id"
+        )
     column = PARTITION_COLUMNS.get(name)
     if column is None:
         return frame

@@ -75,6 +75,12 @@ LAYOUTS = {
 
 # Column a table is stored by, so that date windows prune directories.
 PARTITION_COLUMNS = {"trips": "trip_date", "travel_time_logs": "log_date"}
+#: Tables stored in order of an instant that look-backs and lookups bound.
+TIME_COLUMNS = {
+    "service_availability": "check_time",
+    "bookings": "ts",
+    "passenger_logs": "ts",
+}
 
 # Parents before children, for loading; the reverse clears them.
 LOAD_ORDER = (
