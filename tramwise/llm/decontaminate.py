@@ -43,9 +43,10 @@ class Search:
     words: int = 5  # of a shingle
     overlap: float = 0.8  # share of an item part's shingles in the passage
     block: int = 64  # postings of a block
+    ranges: int = 64  # of items, for the first sifting of passages
     #: Words of the items that one index holds; more items make more indexes, each
     #: broadcast on its own and run over all documents.
-    index_words: int = 2_000_000
+    index_words: int = 500_000
 
 
 class Index:
@@ -76,6 +77,11 @@ class Index:
         self.terms, first = np.unique(word, return_index=True)
         self.most = np.maximum.reduceat(self.impact, first)
         self.longest = int(lengths.max())
+        # The largest impact of each term in each of so many ranges of items.
+        number = np.repeat(np.arange(len(first)), np.diff([*first, len(word)]))
+        self.ranges = np.zeros((len(first), min(how.ranges, len(items))), np.float32)
+        place = self.item * self.ranges.shape[1] // len(items)
+        np.maximum.at(self.ranges, (number, place), (self.impact * (1 + 1e-6)).astype(np.float32))
         self.lists = [self._blocks(x, y) for x, y in zip(first, [*first[1:], len(word)])]
 
     def _blocks(self, a: int, b: int):
@@ -215,7 +221,8 @@ def search_slice(index: Index, data: np.ndarray, bounds: np.ndarray) -> list[tup
         a, b, r = int(begin[k]), int(end[k]), int(row[k])
         own = np.unique(term[a:b])
         own = own[own >= 0]
-        if index.most[own].sum() < 1.0:
+        # So do the maxima of the ranges of items, term by term.
+        if index.ranges[own].sum(0).max(initial=0) < 1.0 - 1e-6:
             continue
         passage = _Shingles(hashes[a:b])
         for item, score in index.search(own.tolist()):
