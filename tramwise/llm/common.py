@@ -7,8 +7,10 @@ are; one very long document is a slice of its own.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
@@ -17,6 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tramwise
 from tramwise.session import checkpoint_root
 
 #: A word: bytes other than blank, tab, line feed, vertical tab, form feed, return.
@@ -57,7 +60,15 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of long texts small."""
+    """Keep the Arrow batches of long texts small, and let workers find this package.
+
+    Workers look where the driver found it; a cluster that does not share that folder
+    gets the package by ``--py-files``.
+    """
+    root = str(Path(tramwise.__file__).resolve().parent.parent)
+    told = spark.sparkContext.environment
+    if root not in told.get("PYTHONPATH", "").split(os.pathsep):
+        told["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [told.get("PYTHONPATH")])])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)

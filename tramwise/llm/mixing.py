@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramwise.llm.common import WORD, stage
+from tramwise.llm.common import WORD, small_batches, stage
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -172,6 +172,7 @@ def decide(
 
     Columns: those three, rows (that agree in them), source_size, target, repeats.
     """
+    small_batches(docs.sparkSession)
     units = stage(
         docs.select(F.col("doc_id").cast("long"), "source", words(F.col("text")).alias("size"))
         .groupBy("doc_id", "source", "size")
