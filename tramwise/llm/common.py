@@ -79,18 +79,25 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def hash_share(key: str, wanted: int, count: int) -> Column:
+    """Whether the hash of ``key`` is among the smallest, of about ``wanted`` rows of ``count``."""
+    if wanted >= count:
+        return F.lit(True)
+    return F.xxhash64(key) < int(2**64 * wanted / count) - 2**63
+
+
 def bounded_sample(rows: DataFrame, key: str, label: str, n: int) -> DataFrame:
     """(key, y): at most ``n`` rows with each of the labels 0 and 1.
 
-    They are those with the smallest hash of ``key``, the same ones every time.
-    Each task sends its best ``n`` rows only.
+    They are those with the smallest hash of ``key``, the same ones every time. Rows
+    whose hash is too large to be among them are put aside before they are ordered.
     """
     parts = [
-        rows.where((F.col(label) == value) & F.col(key).isNotNull())
+        rows.where((F.col(label) == value) & F.col(key).isNotNull() & hash_share(key, 2 * n, count))
         .select(F.col(key).cast("long").alias(key), F.lit(value).alias("y"))
         .orderBy(F.xxhash64(key), key)
         .limit(n)
-        for value in (0, 1)
+        for value, count in enumerate(label_counts(rows, label))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -111,12 +118,8 @@ class TextPress:
     """
 
     def __init__(self, texts: DataFrame, samples: int = 2000, characters: int = 4000):
-        rows = (
-            texts.select(F.substring("text", 1, characters).alias("text"))
-            .orderBy(F.xxhash64("text"), "text")
-            .limit(samples)
-            .collect()
-        )
+        some = texts.where(hash_share("text", 2 * samples, texts.count()))
+        rows = some.select(F.substring("text", 1, characters).alias("text")).limit(samples).collect()
         self.words = b""
         if sum(len(r.text or "") for r in rows) > 1_000_000:
             self.words = zstandard.train_dictionary(1 << 16, [r.text.encode() for r in rows if r.text]).as_bytes()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramwise.llm.common import small_batches, stage
+from tramwise.llm.common import hash_share, small_batches, stage
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,8 @@ def nearest(
     rows, width = valid_vectors(table, key, vector)
     rows = stage(rows, "vectors")
     half = width // 2
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(how.sample).select("v").collect()
+    some = rows.where(hash_share("vec_id", 2 * how.sample, rows.count()))
+    sample = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(how.sample).select("v").collect()
     x = np.array([r.v for r in sample], float).reshape(len(sample), width)
     books = [kmeans(p, how.centroids, how.rounds) for p in (x[:, :half], x[:, half:])]
     shape = [max(len(b), 1) for b in books]
