@@ -154,6 +154,18 @@ def test_near_duplicates_of_chains(spark):
     assert near(frame) == brute_components(rows, 2)
 
 
+def test_open_buckets_are_settled_in_full(spark, monkeypatch):
+    """Two near members far from the bucket's centre, which the rounds leave, are linked."""
+    none = spark.createDataFrame([], "v long, part long, u long, before long")
+    monkeypatch.setattr(minhash, "_neighbours", lambda *_: none)
+    own = [f"w{k}" for k in range(40)]
+    texts = [(1, " ".join(own)), (2, " ".join([*own, "x"])), (3, "a b c d e f"), (4, "g h i j k l")]
+    reps = spark.createDataFrame([(1, [10]), (2, [10]), (3, [10, 20]), (4, [20])], "doc_id long, keys array<long>")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = minhash.class_components(reps, docs, minhash.Near(words=4))
+    assert [tuple(r) for r in found.collect()] == [(2, 1)]
+
+
 def test_near_duplicates_of_odd_rows(odd, no_docs):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

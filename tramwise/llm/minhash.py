@@ -12,6 +12,11 @@ component is settled. In the others, rounds follow that compare neighbours in th
 of two further bands, between components only, each round with other bands: the nearest
 documents agree in the most bands and come to stand side by side. A round adds at most
 one pair for each member. Rounds go on until two in a row find no link.
+
+What is open then is settled in full: in every bucket that still holds several
+components, each member outside the largest of them is compared with all members of the
+others, block against block. Components only grow, so after one such pass no bucket
+holds a pair across components that was not compared.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from tramwise.llm.common import (
     lower_ascii,
     mix,
     runs,
+    slices,
     small_batches,
     span_hashes,
     stage,
@@ -50,6 +56,12 @@ class Near:
     rows: int = 5  # bins of a band
     bands: int = 36
     large: int = 64  # members of a large bucket
+    block: int = 1024  # members on each side of a block of the last pass, about
+
+
+#: Bytes of compressed text on a side of a block, about, and cells of a matrix of counts.
+BLOCK_BYTES = 4 << 20
+CELLS = 1 << 23
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -212,6 +224,156 @@ def _neighbours(members: DataFrame, reps: DataFrame, turn: int, how: Near) -> Da
     )
 
 
+def near_parts(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """Pairs of parts that a near pair of a ``left`` and a ``right`` row connects.
+
+    All pairs of rows whose parts differ and whose sizes allow it are compared; of the
+    pairs of parts a spanning forest is told.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    left, right = (rows[np.argsort(sizes[rows], kind="stable")] for rows in (left, right))
+    above: dict[int, int] = {}
+
+    def root(x):
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    told = []
+    ordered = sizes[right]
+    for at in range(0, len(left), 128):
+        own = left[at : at + 128]
+        least, most = int(sizes[own[0]]), int(sizes[own[-1]])
+        # Near sets have 100 * smaller >= percent * larger.
+        first = np.searchsorted(ordered * 100, least * percent, "left")
+        end = np.searchsorted(ordered * percent, most * 100, "right")
+        others = right[first:end]
+        if not len(others):
+            continue
+        names = np.unique(np.concatenate([sets[i] for i in own]))
+        both = np.zeros((len(own), len(others)), np.int64)
+        wide = max(1, CELLS // (len(own) + len(others)))
+        for cut in range(0, len(names), wide):
+            some = names[cut : cut + wide]
+            both += (_incidence(sets, own, some) @ _incidence(sets, others, some).T).astype(np.int64)
+        union = sizes[own][:, None] + sizes[others][None, :] - both
+        near = (100 * both >= percent * union) & (both > 0) & (part[own][:, None] != part[others][None, :])
+        for i, row in zip(own, near):
+            for other in np.unique(part[others[row]]).tolist():
+                x, y = root(int(part[i])), root(other)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    told.append((int(part[i]), other))
+    return told
+
+
+def _incidence(sets: list[np.ndarray], rows: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """A row of 0 and 1 for each of the sets: which of the sorted ``names`` it has."""
+    has = np.zeros((len(rows), len(names)), np.float32)
+    for k, i in enumerate(rows):
+        own = sets[i]
+        own = own[np.searchsorted(own, names[0], "left") : np.searchsorted(own, names[-1], "right")]
+        at = np.searchsorted(names, own)
+        has[k, at[names[at] == own]] = 1
+    return has
+
+
+def settle(open_: DataFrame, blobs: DataFrame, press: TextPress, how: Near) -> DataFrame:
+    """(u, v): parts connected by a near pair of some bucket, all such pairs compared.
+
+    ``open_`` has bucket, doc_id and part. Members outside the largest part of a bucket
+    meet all its members, in blocks of both by hash, so that no bucket, however large,
+    lies in one task.
+    """
+    sizes = blobs.select("doc_id", F.length("blob").alias("bytes"))
+    parts = (
+        open_.join(sizes, "doc_id")
+        .groupBy("bucket", "part")
+        .agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"))
+    )
+    shape = parts.groupBy("bucket").agg(
+        F.max(F.struct("count", (-F.col("part")).alias("part"), "bytes")).alias("most"),
+        F.sum("count").alias("count"),
+        F.sum("bytes").alias("bytes"),
+    )
+
+    def blocks(count, held):
+        n = F.ceil(F.greatest(count / how.block, held / BLOCK_BYTES))
+        return F.greatest(n, F.lit(1)).cast("long")
+
+    shape = shape.select(
+        "bucket",
+        (-F.col("most.part")).alias("largest"),
+        blocks(F.col("count"), F.col("bytes")).alias("across"),
+        blocks(F.col("count") - F.col("most.count"), F.col("bytes") - F.col("most.bytes")).alias("down"),
+    )
+    own = (
+        open_.select("bucket", "doc_id", "part")
+        .join(shape, "bucket")
+        .withColumn("outside", F.col("part") != F.col("largest"))
+        .withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("down")))
+        .withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("across")))
+    )
+    # In a bucket of one block a member stands for both sides.
+    one = (F.col("across") == 1) & (F.col("down") == 1)
+    shared = ["bucket", "doc_id", "part"]
+    right = own.select(
+        *shared,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("i"),
+        "j",
+        (one & F.col("outside")).alias("left"),
+        F.lit(True).alias("right"),
+    )
+    left = own.where(F.col("outside") & ~one).select(
+        *shared,
+        "i",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("j"),
+        F.lit(True).alias("left"),
+        F.lit(False).alias("right"),
+    )
+    rows = (
+        right.unionByName(left)
+        .join(blobs, "doc_id")
+        .select("bucket", "i", "j", "part", "left", "right", "blob")
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j")
+    )
+
+    def run(batches):
+        open_text = press.opener()
+
+        def compare(held):
+            texts = [open_text(b) for _, _, _, b in held]
+            bounds = np.cumsum([0, *map(len, texts)])
+            sets = []
+            for first, end in slices(bounds):
+                data = np.frombuffer(b"".join(texts[first:end]), np.uint8)
+                sets += shingle_sets(data, bounds[first : end + 1] - bounds[first], how.words)
+            part, left, right = (np.array([h[k] for h in held]) for k in range(3))
+            return near_parts(sets, part, np.flatnonzero(left), np.flatnonzero(right), how.percent)
+
+        def pairs_of(held):
+            told = compare(held)
+            u, v = (pa.array([p[k] for p in told], pa.int64()) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+
+        block, held = None, []
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
+            cells = zip(*(batch.column(c).to_pylist() for c in ("part", "left", "right", "blob")))
+            for name, cell in zip(names, cells):
+                if name != block:
+                    if held:
+                        yield pairs_of(held)
+                    block, held = name, []
+                held.append(cell)
+        if held:
+            yield pairs_of(held)
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
 def class_components(reps: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
     """(u, v): the least class ``v`` of the component of each class ``u`` other than it.
 
@@ -249,6 +411,10 @@ def class_components(reps: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
             found = components(found.unionByName(links))
             left = _unsettled(_labelled(open_.select("bucket", "doc_id"), found))
             open_ = stage(left, "unsettled")
+    if not open_.isEmpty():
+        links = stage(settle(open_, blobs, press, how), "near-links")
+        if not links.isEmpty():
+            found = components(found.unionByName(links))
     return found
 
 
