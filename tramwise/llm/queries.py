@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramwise.llm import decontaminate, language_id, minhash, mixing, neighbours, quality, substrings, templates, token_counts, toxicity
+from tramwise.llm import (
+    alignment,
+    decontaminate,
+    language_id,
+    lm_score,
+    minhash,
+    mixing,
+    neighbours,
+    quality,
+    substrings,
+    templates,
+    token_counts,
+    toxicity,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +75,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -73,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_templates": op8_templates,
         "op9_neighbours": op9_neighbours,
         "op10_quality": op10_quality,
+        "op11_lm_score": op11_lm_score,
+        "op12_whitening": op12_whitening,
+        "op13_alignment": op13_alignment,
     }
 
 
