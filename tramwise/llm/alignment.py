@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tramwise.llm.common import small_batches, span_hashes, stage, text_slices
-from tramwise.llm.frequent import Tally, bar_of, frequent_keys, looked_up
+from tramwise.llm.frequent import Tally, bar_of, frequent_keys, from_blobs, looked_up, to_blobs
 from tramwise.llm.token_counts import byte_letters
 
 #: Pairs of ids that are broadcast, at most (16 bytes each).
@@ -252,7 +252,7 @@ def align_slice(aligner: Aligner, data: np.ndarray, bounds: np.ndarray):
 
 PAIRS = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    "pairs array<long>, times array<int>"
+    "pairs binary, times binary"
 )
 
 
@@ -265,15 +265,15 @@ def aligned(docs: DataFrame, held) -> DataFrame:
             for offset, data, bounds in text_slices(batch.column("text")):
                 (n_a, n_b, n_groups), links, digests, owner, pairs, times = align_slice(aligner, data, bounds)
                 rows = len(n_a)
-                cut = pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32())
+                cut = np.searchsorted(owner, np.arange(rows + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").slice(offset, rows),
                         batch.column("doc_id").slice(offset, rows),
                         *map(pa.array, (n_a, n_b, n_groups, links)),
                         pa.array(digests, pa.string()),
-                        pa.ListArray.from_arrays(cut, pa.array(pairs)),
-                        pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))),
+                        to_blobs(cut, pairs.astype(np.int64)),
+                        to_blobs(cut, times.astype(np.int32)),
                     ],
                     [f.split()[0] for f in PAIRS.split(", ")],
                 )
@@ -293,8 +293,8 @@ def pair_counts(found: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "times"])
 
         for batch in batches:
-            keys = batch.column("pairs").flatten().to_numpy()
-            if tally.add(keys, batch.column("times").flatten().to_numpy().astype(np.int64)):
+            _, keys = from_blobs(batch.column("pairs"), np.int64)
+            if tally.add(keys, from_blobs(batch.column("times"), np.int32)[1].astype(np.int64)):
                 yield taken()
         yield taken()
 
@@ -323,9 +323,9 @@ def weighed(found: DataFrame, held, best, width: int) -> DataFrame:
     def run(batches):
         frequent, tops = held.value, best.value
         for batch in batches:
-            pairs, times = batch.column("pairs"), batch.column("times")
-            cut = np.r_[0, np.cumsum(pairs.value_lengths().to_numpy())]
-            flat, many = pairs.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+            sizes, flat = from_blobs(batch.column("pairs"), np.int64)
+            many = from_blobs(batch.column("times"), np.int32)[1].astype(np.int64)
+            cut = np.r_[0, np.cumsum(sizes)]
             count = looked_up(flat, frequent)
             rare = count == 0
 

@@ -9,6 +9,7 @@ so a plain shuffle join serves it without skew. Both ways together find every ke
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +73,21 @@ class Tally:
         self.parts, self.held = [], 0
         keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
         return keys, np.bincount(where, times, len(keys)).astype(np.int64), marks[first]
+
+
+# -- Lists of numbers as bytes, which the JVM passes on without looking into them ---
+
+
+def to_blobs(cut: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """The numbers from each of ``cut`` to the next, a blob each."""
+    offsets = pa.py_buffer((cut * values.itemsize).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def from_blobs(column: pa.BinaryArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each blob holds, and all of them end to end."""
+    _, starts, data = column.buffers()
+    bounds = np.frombuffer(starts, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.diff(bounds) // size, held.view(kind) if len(held) else np.zeros(0, kind)
