@@ -14,7 +14,8 @@ minimizers do, and the graph falls apart by minimizer.
    source coordinates of its paths, and their windows are compared one by one.
 
 Shuffles carry hashes and coordinates; the text goes along compressed, and only to
-meet what was found in it.
+meet what was found in it. Equal words are told by 128 bits of hash (minimizer and content
+of a path; minimizer and words of a window), not compared again one by one.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ WINDOW = 20
 KEY = 5
 #: Stands for a NULL id, which sorts first.
 NO_ID = -(1 << 63)
+#: A key with more than this part of all rows is dealt to so many tasks.
+HOT, SALTS = 256, 32
+#: Up to so many repeated ids are broadcast.
+FEW_IDS = 1_000_000
 
 
 def stretches(hashes: np.ndarray, counts: np.ndarray, window: int, key: int):
@@ -102,56 +107,74 @@ def _hashed(data, bounds):
     return begin, end, counts, span_hashes(data, begin, end)
 
 
-# A coordinate packs the tag of the text (16 bits; it tells texts of one id apart), the
-# minimizer's word position (36 bits) and the stretch's reach to its left and right.
-_POSITION = 36
+# A coordinate packs the minimizer's word position and the stretch's reach to its left
+# and right. Texts are told apart by doc and mark.
 
 
-def pack(tag, position, before, after):
-    return ((tag << _POSITION | position) << 5 | before) << 5 | after
+def pack(position, before, after):
+    return (position << 5 | before) << 5 | after
 
 
 def unpack(packed):
-    """(tag and position, before, after)"""
+    """(position, before, after)"""
     return packed >> 10, packed >> 5 & 31, packed & 31
 
 
 def find_stretches(texts: DataFrame, window: int, key: int) -> DataFrame:
-    """(minimizer, content, doc, at) of every stretch of (doc, tag, text) rows."""
+    """(minimizer, content, doc, mark, at) of every stretch of (doc, mark, text) rows."""
 
     def find(batches):
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
-            tag = batch.column("tag").to_numpy().astype(np.int64)
+            doc, mark = (batch.column(c).to_numpy() for c in ("doc", "mark"))
             for offset, data, bounds in text_slices(batch.column("text")):
                 _, _, counts, hashes = _hashed(data, bounds)
                 rows, first, last, middle, keys, content = stretches(hashes, counts, window, key)
-                at = pack(tag[offset + rows], middle, middle - first, last - first)
+                at = pack(middle, middle - first, last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(keys), _signed(content), pa.array(doc[offset + rows]), pa.array(at)],
-                    ["minimizer", "content", "doc", "at"],
+                    [_signed(keys), _signed(content), *map(pa.array, (doc[offset + rows], mark[offset + rows], at))],
+                    ["minimizer", "content", "doc", "mark", "at"],
                 )
 
-    return texts.mapInArrow(find, "minimizer long, content long, doc long, at long")
+    return texts.mapInArrow(find, "minimizer long, content long, doc long, mark long, at long")
+
+
+def dealt(frame: DataFrame, hot: list[int], every: bool = False) -> DataFrame:
+    """``frame`` with ``salt``, which spreads the rows of hot minimizers.
+
+    With ``every`` these rows are there for each salt, to meet the others.
+    """
+    one = F.lit(0).cast("long")
+    if not hot:
+        return frame.withColumn("salt", one)
+    crowded = F.col("minimizer").isin(hot)
+    if every:
+        salts = F.when(crowded, F.sequence(one, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(one))
+        return frame.withColumn("salt", F.explode(salts))
+    draw = F.pmod(F.xxhash64("doc", "mark", "at"), F.lit(SALTS).cast("long"))
+    return frame.withColumn("salt", F.when(crowded, draw).otherwise(one))
 
 
 def compact(found: DataFrame) -> DataFrame:
-    """(doc, at, minimizer): stretches that repeat, and paths that branch.
+    """(doc, mark, at, minimizer): stretches that repeat, and paths that branch.
 
     ``minimizer`` is NULL for a stretch that repeats an earlier one word for word. It
     is given for the first occurrence of a path whose minimizer has other paths.
     """
-    again = found.groupBy("minimizer").count().where("count > 1").select("minimizer")
-    shared = stage(found.join(again, "minimizer"), "stretches")
+    again = stage(found.groupBy("minimizer").count().where("count > 1"), "minimizers")
+    total = again.agg(F.sum("count")).first()[0] or 0
+    # Fewer than HOT of them can have more than that part of all rows.
+    hot = [r.minimizer for r in again.where(F.col("count") > total / HOT).select("minimizer").collect()]
+    shared = dealt(found, hot).join(dealt(again.select("minimizer"), hot, every=True), ["minimizer", "salt"])
+    shared = stage(shared.drop("salt"), "stretches")
     paths = shared.groupBy("minimizer", "content").agg(
-        F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times")
+        F.min(F.struct("doc", "mark", "at")).alias("first"), F.count("*").alias("times")
     )
     branches = paths.groupBy("minimizer").count().where("count > 1").select("minimizer")
-    repeats = shared.join(paths.where("times > 1"), ["minimizer", "content"]).where(
-        (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))
-    )
-    heads = paths.join(branches, "minimizer").select("first.doc", "first.at", "minimizer")
-    return repeats.select("doc", "at", F.lit(None).cast("long").alias("minimizer")).unionByName(heads)
+    later = ~F.struct("doc", "mark", "at").eqNullSafe(F.col("first"))
+    repeated = dealt(paths.where("times > 1"), hot, every=True)
+    repeats = dealt(shared, hot).join(repeated, ["minimizer", "content", "salt"]).where(later)
+    heads = paths.join(branches, "minimizer").select("first.doc", "first.mark", "first.at", "minimizer")
+    return repeats.select("doc", "mark", "at", F.lit(None).cast("long").alias("minimizer")).unionByName(heads)
 
 
 def removed_words(n: int, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
@@ -182,7 +205,7 @@ def _texts(open_, blobs: pa.Array):
 
 
 _OPEN = (
-    "doc_id long, doc long, tag int, n_words long, n_removed long, kept_sha256 string, "
+    "doc_id long, doc long, mark long, n_words long, n_removed long, kept_sha256 string, "
     "blob binary, items array<struct<at: long, minimizer: long>>"
 )
 
@@ -193,7 +216,6 @@ def close(joined: DataFrame, press: TextPress, window: int) -> DataFrame:
     def run(batches):
         open_ = press.opener()
         for batch in batches:
-            tags = batch.column("tag").to_numpy()
             items = batch.column("items")
             bounds, flat = _lists(items)
             at = flat.field("at").to_numpy()
@@ -202,32 +224,30 @@ def close(joined: DataFrame, press: TextPress, window: int) -> DataFrame:
             for i, (data, begin, end, _, _) in enumerate(_texts(open_, batch.column("blob"))):
                 own = slice(bounds[i], bounds[i + 1])
                 place, before, after = unpack(at[own])
-                mine = place >> _POSITION == tags[i]
-                position = place & ((1 << _POSITION) - 1)
                 n_words.append(len(begin))
-                waits.append(bool((mine & branch[own]).any()))
+                waits.append(bool(branch[own].any()))
                 if waits[-1]:
                     n_removed.append(None)
                     digests.append(None)
                     continue
-                first = (position - before)[mine]
-                gone = removed_words(len(begin), first, first + after[mine], window)
+                first = place - before
+                gone = removed_words(len(begin), first, first + after, window)
                 n_removed.append(int(gone.sum()))
                 digests.append(kept_hash(data, begin, end, gone))
             mask = pa.array(waits, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in ("doc_id", "doc", "tag")],
+                    *[batch.column(c) for c in ("doc_id", "doc", "mark")],
                     pa.array(n_words, pa.int64()),
                     pa.array(n_removed, pa.int64()),
                     pa.array(digests, pa.string()),
                     pc.if_else(mask, batch.column("blob"), None),
                     items.filter(mask).take(_positions(waits)),
                 ],
-                ["doc_id", "doc", "tag", "n_words", "n_removed", "kept_sha256", "blob", "items"],
+                ["doc_id", "doc", "mark", "n_words", "n_removed", "kept_sha256", "blob", "items"],
             )
 
-    return joined.select("doc_id", "doc", "tag", "blob", "items").mapInArrow(run, _OPEN)
+    return joined.select("doc_id", "doc", "mark", "blob", "items").mapInArrow(run, _OPEN)
 
 
 def _positions(waits: list[bool]) -> pa.Array:
@@ -237,12 +257,12 @@ def _positions(waits: list[bool]) -> pa.Array:
 
 
 def branch_windows(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
-    """(minimizer, words, doc, place) of every window of the branching paths."""
+    """(minimizer, words, doc, mark, at) of every window of the branching paths."""
 
     def run(batches):
         open_ = press.opener()
         for batch in batches:
-            docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+            docs, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
             bounds, flat = _lists(batch.column("items"))
             at = flat.field("at").to_numpy()
             keys = flat.field("minimizer").fill_null(0).to_numpy()
@@ -250,23 +270,23 @@ def branch_windows(waiting: DataFrame, press: TextPress, window: int) -> DataFra
             for i, (_, _, _, _, hashes) in enumerate(_texts(open_, batch.column("blob"))):
                 own = slice(bounds[i], bounds[i + 1])
                 place, before, after = unpack(at[own])
-                mine = branch[own] & (place >> _POSITION == tags[i])
+                mine = branch[own]
                 place, before, after = place[mine], before[mine], after[mine]
                 number = after + 1
                 start = np.repeat(place - before - (np.cumsum(number) - number), number)
                 start += np.arange(number.sum())
-                words = start & ((1 << _POSITION) - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(keys[own][mine], number)),
-                        _signed(span_sums(hashes, words, words + window)),
+                        _signed(span_sums(hashes, start, start + window)),
                         pa.array(np.full(len(start), docs[i])),
+                        pa.array(np.full(len(start), marks[i])),
                         pa.array(start),
                     ],
-                    ["minimizer", "words", "doc", "place"],
+                    ["minimizer", "words", "doc", "mark", "at"],
                 )
 
-    return waiting.mapInArrow(run, "minimizer long, words long, doc long, place long")
+    return waiting.mapInArrow(run, "minimizer long, words long, doc long, mark long, at long")
 
 
 def finish(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
@@ -275,7 +295,6 @@ def finish(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
     def run(batches):
         open_ = press.opener()
         for batch in batches:
-            tags = batch.column("tag").to_numpy()
             bounds, flat = _lists(batch.column("items"))
             at = flat.field("at").to_numpy()
             plain = ~flat.field("minimizer").is_valid().to_numpy(zero_copy_only=False)
@@ -285,10 +304,9 @@ def finish(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
             for i, (data, begin, end, _, _) in enumerate(_texts(open_, batch.column("blob"))):
                 own = slice(bounds[i], bounds[i + 1])
                 place, before, after = unpack(at[own])
-                mine = plain[own] & (place >> _POSITION == tags[i])
-                first = ((place & ((1 << _POSITION) - 1)) - before)[mine]
+                mine = plain[own]
+                first = (place - before)[mine]
                 more = starts[limits[i] : limits[i + 1]]
-                more = more[more >> _POSITION == tags[i]] & ((1 << _POSITION) - 1)
                 gone = removed_words(
                     len(begin), np.r_[first, more], np.r_[first + after[mine], more], window
                 )
@@ -304,6 +322,26 @@ def finish(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
     )
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, mark, text): ``mark`` tells the texts of a repeated or missing id apart.
+
+    It is a 64-bit hash of the text, and 0 for an id that occurs once, as most do.
+    """
+    text = F.coalesce("text", F.lit(""))
+    number = F.col("doc_id").cast("long")
+    rows = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(NO_ID)).alias("doc"), text.alias("text"))
+    repeated = stage(rows.groupBy("doc").count().where("count > 1").select("doc"), "repeated-ids")
+    many = repeated.count()
+    if not many:
+        mark = F.lit(0).cast("long")
+    elif many > FEW_IDS:
+        mark = F.xxhash64("text")
+    else:
+        rows = rows.join(F.broadcast(repeated.withColumn("again", F.lit(True))), "doc", "left")
+        mark = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.select("doc_id", "doc", mark.alias("mark"), "text")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> DataFrame:
     """Remove every word that a repeated window of ``window`` words covers.
 
@@ -317,38 +355,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
     are not read. ``window`` may be at most 31 + ``key`` words.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(
-        F.col("doc_id").cast("long"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"),
-        text.alias("text"),
-    )
-    found = find_stretches(texts.select("doc", "tag", "text"), window, key)
+    texts = marked(docs)
+    found = find_stretches(texts.select("doc", "mark", "text"), window, key)
     items = (
         compact(found)
-        .groupBy("doc")
+        .groupBy("doc", "mark")
         .agg(F.collect_list(F.struct("at", "minimizer")).alias("items"))
     )
 
     press = TextPress(texts)
     pressed = press.press(texts)
-    told = stage(close(pressed.join(items, "doc", "left"), press, window), "substrings")
+    told = stage(close(pressed.join(items, ["doc", "mark"], "left"), press, window), "substrings")
     waiting = told.where("n_removed is null")
-    windows = branch_windows(waiting.select("doc", "tag", "blob", "items"), press, window)
+    windows = branch_windows(waiting.select("doc", "mark", "blob", "items"), press, window)
     firsts = (
         windows.groupBy("minimizer", "words")
-        .agg(F.count("*").alias("times"), F.min(F.struct("doc", "place")).alias("first"))
+        .agg(F.count("*").alias("times"), F.min(F.struct("doc", "mark", "at")).alias("first"))
         .where("times > 1")
     )
+    # Rows that agree in id and text are one document.
     starts = (
         windows.join(firsts, ["minimizer", "words"])
-        .where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
-        .groupBy("doc")
-        .agg(F.collect_list("place").alias("starts"))
+        .where(~F.struct("doc", "mark", "at").eqNullSafe(F.col("first")))
+        .groupBy("doc", "mark")
+        .agg(F.collect_set("at").alias("starts"))
     )
     final = finish(
-        waiting.join(starts, "doc", "left").select("doc_id", "tag", "n_words", "blob", "items", "starts"),
+        waiting.join(starts, ["doc", "mark"], "left").select("doc_id", "n_words", "blob", "items", "starts"),
         press,
         window,
     )
