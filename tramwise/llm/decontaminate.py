@@ -268,45 +268,51 @@ MATCH = (
 )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> DataFrame:
-    """Benchmark items found in documents: a row for each document and item.
-
-    ``benchmark`` has item_id and text, whose first line is the question and whose rest
-    is the answer. Columns: doc_id, item_id, score (1 is the bar), question_share,
-    answer_share (NULL where the item has one part), first_word and n_words of the
-    passage. Words are compared with A-Z in lower case.
-
-    Texts or items that are NULL or have no words match nothing; without items the
-    result is empty. Repeated documents are reported for each row, repeated items
-    once; NULL ids are kept. Other columns are not read.
-    """
-    spark = docs.sparkSession
+def _found(texts: DataFrame, benchmark: DataFrame, how: Search) -> DataFrame:
+    """Items found, with ``mark``, of rows that have doc_id, mark and text."""
+    spark = texts.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    found = spark.createDataFrame([], MATCH)
+    found = spark.createDataFrame([], f"mark long, {MATCH}")
     for index in indexes(benchmark, how):
         held = spark.sparkContext.broadcast(index)  # index_words bounds it
 
         def run(batches, held=held):
             index = held.value
             for batch in batches:
-                ids = batch.column("doc_id")
+                ids, marks = batch.column("doc_id"), batch.column("mark")
                 rows = []
                 for offset, data, bounds in text_slices(batch.column("text")):
                     for r, item, *rest in search_slice(index, data, bounds):
-                        rows.append((ids[offset + r].as_py(), index.ids[item], *rest))
+                        rows.append((marks[offset + r].as_py(), ids[offset + r].as_py(), index.ids[item], *rest))
                 columns = list(zip(*rows)) if rows else [()] * len(SHAPE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, SHAPE)], schema=SHAPE
                 )
 
-        found = found.unionByName(texts.mapInArrow(run, MATCH))
+        own = texts.select(F.col("doc_id").cast("long"), F.col("mark"), "text")
+        found = found.unionByName(own.mapInArrow(run, f"mark long, {MATCH}"))
     return found
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> DataFrame:
+    """Benchmark items found in documents: a row for each document and item.
+
+    ``benchmark`` has item_id and text, whose first line is the question and whose rest
+    is the answer. Columns: doc_id, item_id, score (1 is the bar), question_share,
+    answer_share (NULL where the item has one part), first_word and n_words of the
+    passage. Words are compared with A-Z in lower case.
+
+    Texts or items that are NULL or have no words match nothing; without items the
+    result is empty. Repeated documents are reported for each row, repeated items
+    once; NULL ids are kept. Other columns are not read.
+    """
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("mark"), "text")
+    return _found(rows, benchmark, how).drop("mark")
+
+
 SHAPE = pa.schema(
     [
-        *[(c, pa.int64()) for c in ("doc_id", "item_id")],
+        *[(c, pa.int64()) for c in ("mark", "doc_id", "item_id")],
         *[(c, pa.float64()) for c in ("score", "question_share", "answer_share")],
         *[(c, pa.int64()) for c in ("first_word", "n_words")],
     ]
@@ -314,7 +320,14 @@ SHAPE = pa.schema(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = leaks(docs, benchmark, how).select("doc_id").distinct().alias("k")
+    """``docs`` without the rows that hold a benchmark item.
+
+    Rows are told apart by id and text, so that of several rows of one id, or without
+    one, only those go whose text leaks.
+    """
+    mark = F.xxhash64("text")
+    rows = docs.select("doc_id", mark.alias("mark"), "text")
+    found = _found(rows, benchmark, how).select("doc_id", "mark").distinct().alias("k")
     d = docs.alias("d")
-    return d.join(found, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_anti")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.mark"))
+    return d.join(found, same, "left_anti")

@@ -254,16 +254,17 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, whole rows of ``docs``, repeated as the mix says.
 
-    ``copy`` numbers the repeats from 1; the other columns are those of ``docs``.
+    ``copy`` numbers the repeats from 1, in place of a column of that name; the other
+    columns are those of ``docs``.
     """
     told = decide(docs, **how).select("doc_id", "source", "size", "repeats").where("repeats > 0").alias("m")
-    own = docs.withColumn("_size", words(F.col("text"))).alias("d")
+    own = docs.alias("d")
     same = (
         F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
         & F.col("d.source").eqNullSafe(F.col("m.source"))
-        & (F.col("d._size") == F.col("m.size"))
+        & (words(F.col("d.text")) == F.col("m.size"))
     )
     return own.join(told, same).select(
-        *[F.col(f"d.`{c}`") for c in docs.columns],
+        *[F.col(f"d.`{c}`") for c in docs.columns if c != "copy"],
         F.explode(F.sequence(F.lit(1), F.col("m.repeats"))).alias("copy"),
     )
