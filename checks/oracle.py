@@ -6,6 +6,8 @@ of ``tramwise.sources.star`` and stands in front of every statement.
 
 from __future__ import annotations
 
+from datetime import date
+
 LOGS_AS_OF = "2000-01-31"
 CHECKS_AS_OF = "2024-01-31"
 # Late enough for the windows of 30 and 90 days to cut rows off.
@@ -13,6 +15,7 @@ RELIABILITY_AS_OF = "2024-02-15"
 AVAILABILITY_AS_OF = "2024-04-15"
 BOOKING_INSTANT = "1996-06-16 00:00:00"
 JOURNEY = ("NATION_11", "NATION_2")
+RIDERS_SINCE, RIDERS_UNTIL = date(1995, 3, 10), date(1996, 8, 20)
 
 VIEWS = {
     "zones": """
@@ -630,6 +633,16 @@ STATEMENTS = {
     "left join zones on zone_name = borough",
     "surrogate_keys": "select *, row_number() over (order by substr(md5(station_id), 1, 3), "
     "station_id) number from distinct_feed",
+    "stable_keys": """
+    with known as (
+        select station_id, row_number() over (order by substr(md5(station_id), 1, 3), station_id) number
+        from (select distinct station_id from feed where ada = '1')
+    )
+    from known
+    union all
+    select station_id, (select coalesce(max(number), 0) from known)
+        + row_number() over (order by substr(md5(station_id), 1, 3), station_id)
+    from (select distinct station_id from feed) where station_id not in (select station_id from known)""",
     "import_stations": """
     select cast(row_number() over (order by substr(md5(f.station_id), 1, 3), f.station_id)
                as int) station_id,
@@ -665,6 +678,30 @@ STATEMENTS = {
     "integrity_audit": _audit(),
 }
 
+# Reports from stored sums give what those from the facts give.
+STATEMENTS |= {
+    f"rolled_{name}": STATEMENTS[name]
+    for name in (
+        "route_summary",
+        "route_stats",
+        "travel_time_trends",
+        "peak_vs_offpeak",
+        "weather_impact",
+        "daily_metrics",
+        "hourly_patterns",
+        "weather_by_route",
+        "daily_ridership",
+        "route_performance",
+        "peak_hour_analysis",
+        "card_statistics",
+    )
+}
+STATEMENTS["riders_of_months"] = f"""
+    with trips as (
+        select * from trips where trip_date between date '{RIDERS_SINCE}' and date '{RIDERS_UNTIL}'
+    )
+    {STATEMENTS["route_performance"]}"""
+
 
 def oracle_sql() -> dict[str, str]:
     views = ",\n".join(f"{name} as ({text})" for name, text in VIEWS.items())

@@ -66,3 +66,26 @@ def test_logs_are_aggregated_before_any_join(name, spark):
                 assert "Join" not in plan[i]
                 if "Aggregate" in plan[i]:
                     break
+
+
+def test_audit_reads_each_table_twice_at_most(spark):
+    """Once for its rules, once more where others refer to it; one shuffle of cells."""
+    frame = entry.queries()["integrity_audit"](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    scans = {}
+    for table in re.findall(r"sf0\.001/(\w+)\.parquet", plan):
+        scans[table] = scans.get(table, 0) + 1
+    # Tables of the star schema that serve one transit table each, or several.
+    assert scans["lineitem"] == 1 and scans["orders"] == 1
+    assert scans["customer"] <= 2 and scans["events"] <= 2
+    assert plan.count("Join") - plan.count("BroadcastNestedLoopJoin") <= 6
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.transit_queries() if n.startswith(("rolled_", "riders_"))))
+def test_rolled_reports_scan_no_facts(name, spark):
+    plan = plan_of(spark, name)
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
+
+
+def test_the_wide_export_is_not_sorted(spark):
+    assert "rangepartitioning" not in plan_of(spark, "route_performance_export")

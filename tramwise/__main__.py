@@ -5,6 +5,7 @@
     spark-submit -m tramwise import --feed <json> --lines <json> --base <tables>
     spark-submit -m tramwise load --landed <folder> --tables trips ... --base <tables>
     spark-submit -m tramwise cards --base <tables>
+    spark-submit -m tramwise maintain --base <tables>
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pyspark.sql import SparkSession
 
 from .operators.ingest import feed_rejects
 from .plans.export import export_pack
-from .plans.importer import import_network
+from .plans.importer import load_network
 from .plans.load import landed, with_card_statistics
-from .plans.refresh import current, refresh
+from .plans.refresh import current, maintain, refresh
 from .plans.reports import REPORTS, Transit, to_records
 from .schema import LAYOUTS
 from .session import configure
-from .sources import Tables, feed, seed
+from .sources import feed, seed
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,8 +45,10 @@ def parser() -> argparse.ArgumentParser:
     facts.add_argument("--landed", required=True)
     facts.add_argument("--tables", nargs="+", required=True, choices=sorted(LAYOUTS))
     facts.add_argument("--form", choices=("parquet", "json"), default="parquet")
+    facts.add_argument("--append", action="store_true", help="keep the rows stored before")
     cards = jobs.add_parser("cards", help="write card statistics from the trips")
-    for job in (export, report, load, facts, cards):
+    upkeep = jobs.add_parser("maintain", help="store partial sums of new snapshots")
+    for job in (export, report, load, facts, cards, upkeep):
         job.add_argument("--base", required=True, help="folder of the stored tables")
         job.add_argument("--as-of", type=datetime.fromisoformat, default=None)
     return top
@@ -78,24 +81,35 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
             print(f"... only the first {given.limit} rows; --limit shows more")
     elif given.job == "import":
         raw = feed.read_feed(spark, given.feed)
-        tables = import_network(
+        load_network(
             raw,
             feed.read_stop_lists(spark, given.lines),
             seed.borough_zones(spark),
+            given.base,
+            _stamp(given),
             sample=given.sample,
         )
-        _publish(spark, tables, given)
+        _print_sizes(spark, given)
         print(f"{feed_rejects(raw).count():>12} rows of the feed were rejected")
     elif given.job == "load":
-        _publish(spark, landed(spark, given.landed, given.tables, given.form), given)
+        tables = landed(spark, given.landed, given.tables, given.form)
+        refresh(tables, given.base, _stamp(given), append=given.tables if given.append else ())
+        _print_sizes(spark, given)
+    elif given.job == "maintain":
+        for entry in maintain(spark, given.base):
+            print(entry)
     else:
-        _publish(spark, with_card_statistics(current(spark, given.base)), given)
+        maintain(spark, given.base, ["card_counts"])
+        refresh(with_card_statistics(current(spark, given.base)), given.base, _stamp(given))
+        _print_sizes(spark, given)
 
 
-def _publish(spark: SparkSession, tables: Tables, given: argparse.Namespace) -> None:
-    """Store the tables and print the sizes of all that are stored now."""
-    stamp = (given.as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
-    refresh(tables, given.base, stamp)
+def _stamp(given: argparse.Namespace) -> str:
+    return (given.as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
+
+
+def _print_sizes(spark: SparkSession, given: argparse.Namespace) -> None:
+    """The sizes of all tables that are stored now."""
     stored = Transit(current(spark, given.base))
     for entry in stored.records("volume_summary"):
         print(f"{entry['n']:>12} {entry['table_name']}")

@@ -107,6 +107,36 @@ def surrogate_keys(
     )
 
 
+def stable_keys(
+    frame: DataFrame,
+    natural_key: str,
+    name: str,
+    known: DataFrame | None = None,
+    digits: int = 3,
+) -> DataFrame:
+    """(natural key, id) of the known keys and of those that ``frame`` brings.
+
+    Known keys keep their id, also those that ``frame`` lacks: an id is never given
+    twice. New keys take the ids after the largest, as :func:`surrogate_keys` numbers
+    them, so that ids stay gapless. NULL keys get none.
+    """
+    keys = frame.select(natural_key).filter(F.col(natural_key).isNotNull()).distinct()
+    if known is None:
+        return surrogate_keys(keys, natural_key, name, digits).select(
+            natural_key, F.col(name).cast("bigint").alias(name)
+        )
+    known = known.select(
+        F.col(natural_key).cast(keys.schema[natural_key].dataType).alias(natural_key),
+        F.col(name).cast("bigint").alias(name),
+    )
+    new = surrogate_keys(
+        keys.join(known, natural_key, "left_anti"), natural_key, name, digits
+    )
+    largest = known.agg(F.coalesce(F.max(name), F.lit(0))).scalar()
+    new = new.select(natural_key, (F.col(name) + largest).cast("bigint").alias(name))
+    return known.unionByName(new)
+
+
 def conform(frame: DataFrame, table: str) -> DataFrame:
     """Cast to the layout of a table; absent columns and NULLs take defaults."""
     defaults = DEFAULTS.get(table, {})
@@ -153,17 +183,28 @@ def feed_rejects(feed: DataFrame) -> DataFrame:
     return feed_faults(feed).filter(F.col("fault").isNotNull())
 
 
-def import_stations(feed: DataFrame, zones: DataFrame) -> DataFrame:
+def station_keys(feed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(feed_id, station_id) of the stations known and of those in a raw feed."""
+    ids = sound_rows(feed).select(F.col("station_id").alias("feed_id"))
+    return stable_keys(ids, "feed_id", "station_id", known)
+
+
+def import_stations(
+    feed: DataFrame, zones: DataFrame, keys: DataFrame | None = None
+) -> DataFrame:
     """Station rows from a raw feed: one per id, zoned, numbered and typed.
 
     Rows with a fault are left out. The accessibility mark of the feed (1 means
     step-free, missing or no number means not) sets both the elevator and the
-    wheelchair flag.
+    wheelchair flag. ``keys`` holds the numbers of all its stations, as
+    :func:`station_keys` gives them; without it they are numbered afresh.
     """
     zoned = lookup_zone(distinct_stations(sound_rows(feed)), zones)
-    numbered = surrogate_keys(
-        zoned.withColumnRenamed("station_id", "feed_id"), "feed_id", "station_id"
-    )
+    zoned = zoned.withColumnRenamed("station_id", "feed_id")
+    if keys is None:
+        numbered = surrogate_keys(zoned, "feed_id", "station_id")
+    else:
+        numbered = zoned.join(keys, "feed_id")
     step_free = F.coalesce(F.col("ada").try_cast("int"), F.lit(0)) == 1
     return numbered.select(
         F.col("station_id").cast("int").alias("station_id"),

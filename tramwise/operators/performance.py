@@ -57,7 +57,7 @@ def _per_route(logs: DataFrame, means: dict[str, Column], *totals: tuple) -> Dat
     )
 
 
-def _mean_of(name: str) -> Column:
+def mean_of(name: str) -> Column:
     return ratio(F.col(f"sum_{name}"), F.col(f"n_{name}"))
 
 
@@ -77,18 +77,25 @@ def route_stats(t: Tables, route_id: int | None = None) -> DataFrame:
         },
         ("max_delay_min", F.max(delay()), F.max),
     )
-    routes = only(route_identity(t, "distance_km", "max_capacity"), wanted)
+    return stats_rows(t, measures, route_id)
+
+
+def stats_rows(t: Tables, measures: DataFrame, route_id: int | None) -> DataFrame:
+    """Key figures from the sums of each route."""
+    routes = only(
+        route_identity(t, "distance_km", "max_capacity"), equals("route_id", route_id)
+    )
     found = routes.join(measures, "route_id", "left")
     return found.select(
         *routes.columns,
         or_zero(F.col("days_tracked")).alias("days_tracked"),
-        rounded(_mean_of("ride")).alias("avg_duration_min"),
-        rounded(_mean_of("delay")).alias("avg_delay_min"),
-        rounded(_mean_of("peak")).alias("peak_delay_min"),
-        rounded(_mean_of("offpeak")).alias("offpeak_delay_min"),
+        rounded(mean_of("ride")).alias("avg_duration_min"),
+        rounded(mean_of("delay")).alias("avg_delay_min"),
+        rounded(mean_of("peak")).alias("peak_delay_min"),
+        rounded(mean_of("offpeak")).alias("offpeak_delay_min"),
         "max_delay_min",
-        rounded(_mean_of("load")).alias("avg_passengers"),
-        share_of_capacity(_mean_of("load"), F.col("max_capacity")).alias(
+        rounded(mean_of("load")).alias("avg_passengers"),
+        share_of_capacity(mean_of("load"), F.col("max_capacity")).alias(
             "utilization_percent"
         ),
     )
@@ -181,12 +188,13 @@ def _newest_first(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def route_performance_export(t: Tables, sort: bool = True) -> DataFrame:
+def route_performance_export(t: Tables, sort: bool = False) -> DataFrame:
     """One wide row per log and per status check in the log's hour.
 
     Both facts are joined on (route, date, hour), a key that spreads a crowded
     route over its hours; what stays heavy is split by adaptive skew joins. The
-    names come last, so that they are not shuffled with every log.
+    names come last, so that they are not shuffled with every log. ``sort=True`` puts
+    the newest first, at the price of a range shuffle of every wide row.
     """
     log_hour = hour_of_minute(F.col("log_min"))
     logs = t.travel_time_logs.withColumn("hour_of_day", log_hour)
@@ -261,15 +269,25 @@ def route_summary(t: Tables) -> DataFrame:
         ("n_peak", F.count_if(in_peak()), F.sum),
         ("n_offpeak", F.count_if(~in_peak()), F.sum),
     )
-    capacity = t.routes.select("route_id", "max_capacity")
-    crowded = (
-        t.travel_time_logs.groupBy("route_id", "passenger_count")
-        .agg(count_rows().alias("n"))
-        .join(capacity, "route_id")
+    loads = t.travel_time_logs.groupBy("route_id", "passenger_count").agg(
+        count_rows().alias("n")
+    )
+    crowded = crowded_rides(t, loads)
+    return summary_rows(t, measures, crowded)
+
+
+def crowded_rides(t: Tables, loads: DataFrame) -> DataFrame:
+    """Rides at 90 % of the route's capacity or more, from counts by route and load."""
+    return (
+        loads.join(t.routes.select("route_id", "max_capacity"), "route_id")
         .filter(passengers().cast("bigint") * 10 >= F.col("max_capacity") * 9)
         .groupBy("route_id")
         .agg(F.sum("n").alias("n_crowded"))
     )
+
+
+def summary_rows(t: Tables, measures: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The summary from the sums and the number of crowded rides of each route."""
     routes = with_station_names(t, t.routes, zones=True)
     return (
         routes.join(measures, "route_id", "left")
@@ -287,16 +305,16 @@ def route_summary(t: Tables) -> DataFrame:
             "max_capacity",
             "wheelchair_accessible",
             or_zero(F.col("days_tracked")).alias("days_with_data"),
-            rounded(_mean_of("ride")).alias("avg_duration_min"),
-            rounded(_mean_of("planned")).alias("scheduled_duration_min"),
-            rounded(_mean_of("delay")).alias("avg_delay_min"),
+            rounded(mean_of("ride")).alias("avg_duration_min"),
+            rounded(mean_of("planned")).alias("scheduled_duration_min"),
+            rounded(mean_of("delay")).alias("avg_delay_min"),
             deviation(F.col("n_delay"), F.col("sum_delay"), F.col("squares")).alias(
                 "delay_std_dev"
             ),
             "max_delay_min",
             "min_delay_min",
-            rounded(_mean_of("load")).alias("avg_passengers"),
-            share_of_capacity(_mean_of("load"), F.col("max_capacity")).alias(
+            rounded(mean_of("load")).alias("avg_passengers"),
+            share_of_capacity(mean_of("load"), F.col("max_capacity")).alias(
                 "avg_utilization_percent"
             ),
             "max_passengers",
@@ -318,7 +336,6 @@ def daily_metrics(t: Tables, modal_weather: bool = False) -> DataFrame:
     sort all logs. So weather is a grouping key at first, and the largest is
     taken from the few groups of each day.
     """
-    day_and_route = ("log_date", "route_id")
     values = {
         "ride": ride_minutes(),
         "delay": delay(),
@@ -326,7 +343,7 @@ def daily_metrics(t: Tables, modal_weather: bool = False) -> DataFrame:
         "offpeak_delay": F.when(~in_peak(), delay()),
         "load": passengers(),
     }
-    by_weather = t.travel_time_logs.groupBy(*day_and_route, "weather_condition").agg(
+    by_weather = t.travel_time_logs.groupBy("log_date", "route_id", "weather_condition").agg(
         count_rows().alias("n"),
         F.count_if(in_peak()).alias("n_peak"),
         F.max(passengers()).alias("fullest"),
@@ -334,6 +351,13 @@ def daily_metrics(t: Tables, modal_weather: bool = False) -> DataFrame:
         *[F.count(v).alias(f"n_{name}") for name, v in values.items()],
     )
 
+    return daily_rows(t, by_weather, modal_weather)
+
+
+def daily_rows(t: Tables, by_weather: DataFrame, modal_weather: bool) -> DataFrame:
+    """The measures of days and routes from their sums by weather."""
+    day_and_route = ("log_date", "route_id")
+
     def day_mean(name: str) -> Column:
         return rounded(ratio(F.sum(f"sum_{name}"), F.sum(f"n_{name}")))
 
@@ -384,6 +408,11 @@ def hourly_patterns(t: Tables) -> DataFrame:
             mean(passengers()).alias("load"),
         )
     )
+    return hourly_rows(t, measures)
+
+
+def hourly_rows(t: Tables, measures: DataFrame) -> DataFrame:
+    """Measures of hours with the names of their routes; ``load`` is unrounded."""
     return measures.join(route_identity(t, "max_capacity"), "route_id").select(
         "hour_of_day",
         "route_id",

@@ -94,12 +94,13 @@ def card_statistics(t: Tables) -> DataFrame:
     )
 
 
-def refreshed_fare_cards(t: Tables) -> DataFrame:
+def refreshed_fare_cards(t: Tables, statistics: DataFrame | None = None) -> DataFrame:
     """The next fare card snapshot, with the statistics brought up to date."""
     old = t.fare_cards
+    found = card_statistics(t) if statistics is None else statistics
     return (
         old.drop("total_trips", "last_used")
-        .join(card_statistics(t), "card_id", "left")
+        .join(found, "card_id", "left")
         .select(*old.columns)
     )
 

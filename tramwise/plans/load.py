@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import rollup
 from ..operators.ingest import conform, log_rows, schedule_rows, trip_rows
 from ..operators.ridership import refreshed_fare_cards
 from ..schema import LAYOUTS
@@ -40,5 +41,10 @@ def landed(
 
 
 def with_card_statistics(stored: Tables) -> Tables:
-    """The fare cards alone, with trip counts and last use from the trips."""
-    return Tables(fare_cards=conform(refreshed_fare_cards(stored), "fare_cards"))
+    """The fare cards alone, with trip counts and last use from the trips.
+
+    Where counts of cards are stored (see ``refresh.maintain``), trips counted before
+    are not read again.
+    """
+    found = rollup.card_statistics(stored) if "card_counts" in stored.derived() else None
+    return Tables(fare_cards=conform(refreshed_fare_cards(stored, found), "fare_cards"))

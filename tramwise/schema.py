@@ -58,6 +58,24 @@ STATION_FEED = (
 )
 STOP_LISTS = "line_id BIGINT, line STRING, description STRING, stops ARRAY<STRING>"
 
+# --- derived tables: partial sums and key maps that loads maintain ------------
+LOG_ROLLUP = (
+    "log_date DATE, hour_of_day INT, route_id BIGINT, is_peak_hour BOOLEAN, "
+    "weather_condition STRING, n BIGINT, "
+    "sum_ride DECIMAL(18,2), n_ride BIGINT, sum_planned DECIMAL(18,2), n_planned BIGINT, "
+    "sum_delay BIGINT, n_delay BIGINT, sum_load BIGINT, n_load BIGINT, "
+    "squares DECIMAL(30,0), min_delay INT, max_delay INT, max_load INT"
+)
+LOAD_COUNTS = "route_id BIGINT, passenger_count INT, n BIGINT"
+TRIP_ROLLUP = (
+    "trip_date DATE, route_id BIGINT, hour INT, n BIGINT, "
+    "sum_fare DECIMAL(20,2), n_fare BIGINT"
+)
+RIDER_BITMAPS = "grain STRING, trip_date DATE, key BIGINT, bucket BIGINT, cards BINARY"
+CARD_COUNTS = "card_id BIGINT, n BIGINT, last_trip DATE"
+STATION_KEYS = "feed_id STRING, station_id BIGINT"
+ROUTE_KEYS = "line_id BIGINT, route_id BIGINT"
+
 LAYOUTS = {
     "zones": ZONES,
     "stations": STATIONS,
@@ -73,6 +91,17 @@ LAYOUTS = {
     "transport_routes": TRANSPORT_ROUTES,
 }
 
+#: Tables that loads keep beside the given ones.
+DERIVED_LAYOUTS = {
+    "log_rollup": LOG_ROLLUP,
+    "load_counts": LOAD_COUNTS,
+    "trip_rollup": TRIP_ROLLUP,
+    "rider_bitmaps": RIDER_BITMAPS,
+    "card_counts": CARD_COUNTS,
+    "station_keys": STATION_KEYS,
+    "route_keys": ROUTE_KEYS,
+}
+
 # Column a table is stored by, so that date windows prune directories.
 PARTITION_COLUMNS = {"trips": "trip_date", "travel_time_logs": "log_date"}
 #: Tables stored in order of an instant that look-backs and lookups bound.

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schema import LAYOUTS
+from ..schema import DERIVED_LAYOUTS, LAYOUTS
 
 
 class Tables:
@@ -18,7 +18,7 @@ class Tables:
     """
 
     def __init__(self, **frames: DataFrame | Callable[[], DataFrame]):
-        unknown = set(frames) - set(LAYOUTS)
+        unknown = set(frames) - set(LAYOUTS) - set(DERIVED_LAYOUTS)
         if unknown:
             raise TypeError(f"no such tables: {sorted(unknown)}")
         self._frames = frames
@@ -36,8 +36,13 @@ class Tables:
         return Tables(**{**self._frames, **frames})
 
     def names(self) -> list[str]:
+        """The given tables; those derived from them are not among them."""
         return [name for name in LAYOUTS if name in self._frames]
 
+    def derived(self) -> dict[str, DataFrame]:
+        """The derived tables that are there."""
+        return {n: getattr(self, n) for n in DERIVED_LAYOUTS if n in self._frames}
+
     def present(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.names()}
 
