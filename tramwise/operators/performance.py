@@ -37,6 +37,10 @@ from .common import (
 )
 
 
+#: What a log and a status check of the same hour agree in.
+IN_HOUR = ("route_id", "log_date", "hour_of_day")
+
+
 def _per_route(logs: DataFrame, means: dict[str, Column], *totals: tuple) -> DataFrame:
     """Means, totals and the days with logs of every route, in one scan.
 
@@ -196,9 +200,17 @@ def route_performance_export(t: Tables, sort: bool = False) -> DataFrame:
     names come last, so that they are not shuffled with every log. ``sort=True`` puts
     the newest first, at the price of a range shuffle of every wide row.
     """
-    log_hour = hour_of_minute(F.col("log_min"))
-    logs = t.travel_time_logs.withColumn("hour_of_day", log_hour)
-    checks = t.service_availability.select(
+    return wide_rows(t, hourly_logs(t), hourly_checks(t), sort)
+
+
+def hourly_logs(t: Tables) -> DataFrame:
+    """The logs with the hour that their status checks share."""
+    return t.travel_time_logs.withColumn("hour_of_day", hour_of_minute(F.col("log_min")))
+
+
+def hourly_checks(t: Tables) -> DataFrame:
+    """The status checks by route, date and hour."""
+    return t.service_availability.select(
         "route_id",
         F.to_date("check_time").alias("log_date"),
         F.hour("check_time").alias("hour_of_day"),
@@ -206,8 +218,11 @@ def route_performance_export(t: Tables, sort: bool = False) -> DataFrame:
         F.col("delay_minutes").alias("service_delay_minutes"),
         F.col("reason").alias("service_issue_reason"),
     )
-    in_hour = ["route_id", "log_date", "hour_of_day"]
-    rows = logs.join(checks, in_hour, "left").join(t.routes.drop("active"), "route_id")
+
+
+def wide_rows(t: Tables, logs: DataFrame, checks: DataFrame, sort: bool) -> DataFrame:
+    """The wide export from logs and checks that have the columns of ``IN_HOUR``."""
+    rows = logs.join(checks, list(IN_HOUR), "left").join(t.routes.drop("active"), "route_id")
     rows = with_station_names(t, rows, zones=True)
     if sort:
         rows = _newest_first(rows)

@@ -178,6 +178,12 @@ def parts(spark: SparkSession, base: str) -> dict[str, list[str]]:
     return newest["tables"] if newest else {}
 
 
+def published(spark: SparkSession, base: str) -> int:
+    """The number of the newest record; -1 if nothing was published."""
+    newest = _newest(spark, base)
+    return newest["number"] if newest else -1
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -223,6 +229,12 @@ def create_only(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; it may be gone already."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _records(spark: SparkSession, base: str) -> DataFrame | None:
     try:
         records = spark.read.schema(RECORD).json(f"{base}/_commits")
