@@ -8,15 +8,15 @@ start and take part once.
 
 Within a bucket only a star is compared: its best connected document with each other
 one. Links are confirmed on the full sets. A bucket whose members then lie in one
-component is settled. In the others, rounds follow that compare neighbours in the order
-of two further bands, between components only, each round with other bands: the nearest
-documents agree in the most bands and come to stand side by side. A round adds at most
-one pair for each member. Rounds go on until two in a row find no link.
+component is settled. In the others one round compares neighbours in the order of two
+further bands, between components only: the nearest documents agree in the most bands and
+come to stand side by side. It adds at most one pair for each member.
 
 What is open then is settled in full: in every bucket that still holds several
 components, each member outside the largest of them is compared with all members of the
 others, block against block. Components only grow, so after one such pass no bucket
-holds a pair across components that was not compared.
+holds a pair across components that was not compared. The number of jobs does not depend
+on the data, but for the logarithm of the largest component.
 """
 
 from __future__ import annotations
@@ -199,13 +199,13 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(again, "bucket")
 
 
-def _neighbours(members: DataFrame, reps: DataFrame, turn: int, how: Near) -> DataFrame:
+def _neighbours(members: DataFrame, reps: DataFrame, how: Near) -> DataFrame:
     """(u, v): members next to each other in their bucket that lie in two components.
 
-    The order is that of two bands which change from turn to turn. In a large bucket
-    only members that agree in the first of them meet.
+    The order is that of two bands. In a large bucket only members that agree in the
+    first of them meet.
     """
-    one, two = (F.get("keys", F.lit(k % how.bands)) for k in (7 * turn + 1, 11 * turn + 5))
+    one, two = (F.get("keys", F.lit(k % how.bands)) for k in (8, 16))
     keys = reps.select("doc_id", one.alias("one"), two.alias("two")).groupBy("doc_id").agg(
         F.min("one").alias("one"), F.min("two").alias("two")
     )
@@ -399,23 +399,15 @@ def class_components(reps: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
     found = components(links)
     # Each pair with a bucket's centre is done, so buckets of two are.
     open_ = stage(_unsettled(_labelled(members, found)).where("size > 2"), "unsettled")
-    turn = idle = 0
-    while idle < 2 and not open_.isEmpty():
-        turn += 1
-        near = _pairs(_neighbours(open_, reps, turn, how))
-        fresh = stage(near.join(pairs, ["u", "v"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(fresh)
-        links = stage(confirm(fresh, blobs, press, how), "near-links")
-        idle = idle + 1 if links.isEmpty() else 0
-        if not idle:
-            found = components(found.unionByName(links))
-            left = _unsettled(_labelled(open_.select("bucket", "doc_id"), found))
-            open_ = stage(left, "unsettled")
-    if not open_.isEmpty():
-        links = stage(settle(open_, blobs, press, how), "near-links")
-        if not links.isEmpty():
-            found = components(found.unionByName(links))
-    return found
+    if open_.isEmpty():
+        return found
+    fresh = _pairs(_neighbours(open_, reps, how)).join(pairs, ["u", "v"], "left_anti")
+    links = stage(confirm(fresh, blobs, press, how), "near-links")
+    if not links.isEmpty():
+        found = components(found.unionByName(links))
+        open_ = stage(_unsettled(_labelled(open_.select("bucket", "doc_id"), found)), "unsettled")
+    links = stage(settle(open_, blobs, press, how), "near-links")
+    return found if links.isEmpty() else components(found.unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
