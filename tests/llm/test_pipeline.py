@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.conftest import SMALL
+from tramwise.llm import language_id, mixing
+from tramwise.llm.common import stage
 
 
 def test_registered():
@@ -38,3 +40,54 @@ def test_run(spark):
     assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
     again = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_stages_as_brute_force(spark):
+    """Each stage's decisions on its own input, with planted copies, lines and items."""
+    from tests.llm.conftest import words
+    from tests.llm.test_repeats import exact_components
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    bench = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    own = [r for r in docs.where("length(text) between 400 and 3000 and lang is not null").orderBy("doc_id").collect()]
+    line = "This very notice of twelve words stands below each article on our site"
+    planted = []
+    for k, r in enumerate(own[:12]):
+        planted.append((90_000 + k, f"{r.text}\n{line}", r.lang, r.source, len(r.text)))  # a copy with a line
+        planted.append((91_000 + k, f"{r.text} {bench[k]}", r.lang, r.source, len(r.text)))  # a copy with an item
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    given = docs
+    for name, apply in corpus_pipeline.STAGES:
+        left = apply(spark, given, SMALL)
+        before = {r.doc_id: r for r in given.collect()}
+        after = left.collect()
+        kept = {r.doc_id for r in after}
+        if name == "language_id":
+            told = {r.doc_id: r for r in language_id.identify(given).collect()}
+            assert kept == {i for i, r in told.items() if r.lang_pred != "und" and not r.ambiguous}
+            assert sorted(map(str, after)) == sorted(str(r) for i, r in before.items() if i in kept)
+        elif name == "line_dedup":
+            assert kept == set(before)
+            assert sum(line in (r.text or "") for r in after) == 1
+            for r in after:  # lines go, none is changed or moved
+                rest = iter((before[r.doc_id].text or "").split("\n"))
+                assert all(part in rest for part in (r.text or "").split("\n"))
+        elif name == "near_dedup":
+            order = sorted(before)
+            classes = exact_components([before[i].text or "" for i in order], 5)
+            whole = [len(words(before[i].text)) >= 5 for i in order]
+            assert {order[k] for k, c in classes.items() if whole[k] and c == k} == {i for i in kept if whole[order.index(i)]}
+        elif name == "decontaminate":
+            items = [" ".join(words(b.lower())) for b in bench if len(words(b)) >= 12]
+            holds = {i for i, r in before.items() if any(b in " ".join(words((r.text or "").lower())) for b in items)}
+            assert holds and not holds & kept
+            assert kept | holds >= {i for i in before if i < 90_000 and i not in set(before) - kept}
+        else:
+            sizes: dict = {}
+            for r in after:
+                sizes[r.source] = sizes.get(r.source, 0) + len(words(r.text))
+            targets = {r.source: r.target for r in mixing.mix(given).select("source", "target").distinct().collect()}
+            largest = max(len(words(r.text)) for r in before.values())
+            assert all(abs(sizes.get(s, 0) - t) <= largest for s, t in targets.items())
+            assert max(r["copy"] for r in after) <= 2
+        given = left if name == "mix" else stage(left, name)
