@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramwise.llm.common import stage
+from tramwise.llm.common import WORD, stage
 
 BLANKS = r"[\x09\x0B-\x0D]"
 VARIABLE, FIELD = "<*>", "<?>"
@@ -56,8 +56,8 @@ def _lines(docs: DataFrame, tree: Tree) -> DataFrame:
     """Every line that has a token, with its leaf."""
     return (
         docs.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+        .where(F.col("words").rlike(WORD))  # before lines are split, or they are split twice
         .withColumn("words", _tokens(F.col("words")))
-        .where(F.size("words") > 0)
         .withColumn("leaf", F.xxhash64(F.size("words"), _masked(F.slice("words", 1, tree.depth))))
     )
 
