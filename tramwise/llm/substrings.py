@@ -164,14 +164,16 @@ def compact(found: DataFrame) -> DataFrame:
     total = again.agg(F.sum("count")).first()[0] or 0
     # Fewer than HOT of them can have more than that part of all rows.
     hot = [r.minimizer for r in again.where(F.col("count") > total / HOT).select("minimizer").collect()]
-    shared = dealt(found, hot).join(dealt(again.select("minimizer"), hot, every=True), ["minimizer", "salt"])
+    # Stored numbers look small enough to be broadcast, and grow with the corpus.
+    known = dealt(again.select("minimizer"), hot, every=True).hint("merge")
+    shared = dealt(found, hot).join(known, ["minimizer", "salt"])
     shared = stage(shared.drop("salt"), "stretches")
     paths = shared.groupBy("minimizer", "content").agg(
         F.min(F.struct("doc", "mark", "at")).alias("first"), F.count("*").alias("times")
     )
     branches = paths.groupBy("minimizer").count().where("count > 1").select("minimizer")
     later = ~F.struct("doc", "mark", "at").eqNullSafe(F.col("first"))
-    repeated = dealt(paths.where("times > 1"), hot, every=True)
+    repeated = dealt(paths.where("times > 1"), hot, every=True).hint("merge")
     repeats = dealt(shared, hot).join(repeated, ["minimizer", "content", "salt"]).where(later)
     heads = paths.join(branches, "minimizer").select("first.doc", "first.mark", "first.at", "minimizer")
     return repeats.select("doc", "mark", "at", F.lit(None).cast("long").alias("minimizer")).unionByName(heads)
