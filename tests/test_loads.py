@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tramwise import Transit
 from tramwise.__main__ import run
-from tramwise.operators import ingest, performance, ridership, rollup
+from tramwise.operators import common, ingest, performance, ridership, rollup
 from tramwise.plans import refresh as loads
 from tramwise.plans.export import DATASETS, export_pack
 from tramwise.plans.importer import load_network
@@ -229,6 +229,37 @@ def test_riders_of_a_range_of_days(spark, appended):
         assert same(getattr(rollup, name)(stored, since, until), getattr(ridership, name)(some))
 
 
+def test_rider_sets_are_words_in_parts_that_follow_the_trips(spark, make, network, monkeypatch):
+    """Few riders of a day take a word each, whatever their numbers; more trips, more parts."""
+    monkeypatch.setattr(common, "PART_ROWS", 50)
+    cards = [None, -1, -64, -65, 0, 63, 64, 5_000_000_000, 2**63 - 1, -(2**63)]
+    day = date(2000, 1, 3)
+    made = [
+        {"trip_id": k, "card_id": cards[k % 10], "route_id": 1 + k % 2, "trip_date": day}
+        | {"tap_in_time": datetime(2000, 1, 3, k % 3)}
+        for k in range(400)
+    ]
+    t = network.with_(trips=make(trips=made).trips)
+    sets = rollup.rider_sets(t.trips)
+    assert sets.rdd.getNumPartitions() == 3 * 400 / 50
+    assert rollup.trip_rollup(t.trips).rdd.getNumPartitions() == 400 / 50
+    assert dict(sets.dtypes)["cards"] == "bigint"
+    daily = {r["bucket"]: r["cards"] for r in rows(sets.filter("grain = 'day'"))}
+    assert len(daily) == 7 and daily[0] == 1 - 2**63 and daily[-1] == 1 - 2**63
+    summed = t.with_(trip_rollup=rollup.trip_rollup(t.trips), rider_sets=sets)
+    for name in TRIP_REPORTS[:3]:
+        assert same(getattr(rollup, name)(summed), getattr(ridership, name)(t))
+
+
+def test_records_of_older_derived_tables_are_passed_over(spark, make, network, tmp_path):
+    base, trips = str(tmp_path), some_trips(make, 1)
+    refresh(network.with_(trips=trips), base, "1")
+    loads._publish(spark, base, "old", lambda tables: tables | {"rider_bitmaps": ["1"]})
+    stored = current(spark, base)
+    assert same(rollup.daily_ridership(stored), ridership.daily_ridership(stored))
+    assert "rider_sets/1" in maintain(spark, base)
+
+
 def test_only_new_snapshots_are_read(spark, make, network, tmp_path):
     base = str(tmp_path)
     refresh(Tables(trips=some_trips(make, 1)), base, "1")

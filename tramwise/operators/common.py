@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.stats import minutes, rounded_mean
 from ..sources.tables import Tables
 
+#: Rows of a part that one task groups, about.
+PART_ROWS = 1 << 20
+
 
 def ride_minutes() -> Column:
     return minutes("avg_travel_time")
@@ -77,6 +80,18 @@ def accessible_only(wanted: bool, name: str = "wheelchair_accessible") -> Column
     return F.col(name) if wanted else None
 
 
+def dealt(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``frame``, of about ``rows`` rows, shuffled by ``keys`` into parts of bounded size.
+
+    For groups that are nearly as many as the rows. Adding them up before the shuffle would
+    hold all groups of a file split in memory and save nothing, and after it all those of a
+    partition, whose number does not follow the table. What groups or joins by ``keys``
+    next needs no other shuffle.
+    """
+    parts = max(frame.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+    return frame.repartition(parts, *keys)
+
+
 def top_per_group(
     frame: DataFrame, group: list[str], order: list[Column], n: int
 ) -> DataFrame:

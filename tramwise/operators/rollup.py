@@ -6,7 +6,7 @@ every report here adds up what it needs. The results are those of the reports of
 same name over the facts.
 
 Distinct riders cannot be added up, but sets of them can be united: they are kept as
-bitmaps over card numbers, one for each day, route and hour, and united over any range
+64-bit words over card numbers, for each day, route and hour, and united over any range
 of days without reading a trip.
 """
 
@@ -32,7 +32,7 @@ from ..functions.stats import (
 from ..schema import DERIVED_LAYOUTS
 from ..sources.tables import Tables
 from . import performance
-from .common import delay, equals, only, passengers, ride_minutes, route_identity
+from .common import dealt, delay, equals, only, passengers, ride_minutes, route_identity
 from .performance import mean_of
 from .ridership import fare
 
@@ -81,19 +81,24 @@ def load_counts(logs: DataFrame) -> DataFrame:
 
 def trip_rollup(trips: DataFrame) -> DataFrame:
     """Trips and fares by date, route and hour of tap-in."""
-    sums = trips.groupBy("trip_date", "route_id", F.hour("tap_in_time").alias("hour")).agg(
+    keys = ("trip_date", "route_id", "hour")
+    taps = trips.select(
+        "trip_date", "route_id", F.hour("tap_in_time").alias("hour"), fare().alias("fare")
+    )
+    sums = dealt(taps, trips.count(), *keys).groupBy(*keys).agg(
         count_rows().alias("n"),
-        F.sum(fare()).alias("sum_fare"),
-        F.count(fare()).alias("n_fare"),
+        F.sum("fare").alias("sum_fare"),
+        F.count("fare").alias("n_fare"),
     )
     return _typed(sums, "trip_rollup")
 
 
-def rider_bitmaps(trips: DataFrame) -> DataFrame:
-    """The cards of every day, and of its routes and hours, as bitmaps.
+def rider_sets(trips: DataFrame) -> DataFrame:
+    """The cards of every day, and of its routes and hours, as bits of words.
 
-    A bitmap covers 32,768 neighbouring card numbers; buckets without riders are not
-    stored. One scan serves the three grains.
+    A word covers 64 neighbouring card numbers; words without riders are not stored, so
+    few riders of a route and day take as many words at most. One scan serves the three
+    grains.
     """
     grains = F.array(
         F.struct(F.lit("day").alias("grain"), F.lit(None).cast("bigint").alias("key")),
@@ -105,14 +110,15 @@ def rider_bitmaps(trips: DataFrame) -> DataFrame:
     )
     taps = trips.filter(F.col("card_id").isNotNull()).select(
         "trip_date",
-        F.bitmap_bucket_number("card_id").alias("bucket"),
-        F.bitmap_bit_position("card_id").alias("bit"),
+        F.shiftright(F.col("card_id").cast("bigint"), 6).alias("bucket"),
+        F.expr("shiftleft(1L, cast(card_id & 63 as int))").alias("card"),
         F.inline(grains),
     )
-    sets = taps.groupBy("grain", "trip_date", "key", "bucket").agg(
-        F.bitmap_construct_agg("bit").alias("cards")
+    keys = ("grain", "trip_date", "key", "bucket")
+    sets = dealt(taps, 3 * trips.count(), *keys).groupBy(*keys).agg(
+        F.bit_or("card").alias("cards")
     )
-    return _typed(sets, "rider_bitmaps")
+    return _typed(sets, "rider_sets")
 
 
 def card_counts(trips: DataFrame) -> DataFrame:
@@ -287,12 +293,14 @@ def _between(since: date | None, until: date | None) -> list[Column]:
 
 
 def _riders(t: Tables, grain: str, key: str, *bounds: Column) -> DataFrame:
-    """Distinct cards of each key: its bitmaps united, bucket by bucket, and counted."""
-    sets = only(t.rider_bitmaps.filter(F.col("grain") == grain), *bounds)
-    united = sets.groupBy(F.col(key).alias("of"), "bucket").agg(
-        F.bitmap_or_agg("cards").alias("cards")
+    """Distinct cards of each key: its words united, bucket by bucket, and counted."""
+    sets = only(t.rider_sets.filter(F.col("grain") == grain), *bounds).select(
+        F.col(key).alias("of"), "bucket", "cards"
+    )
+    united = dealt(sets, sets.count(), "of", "bucket").groupBy("of", "bucket").agg(
+        F.bit_or("cards").alias("cards")
     )
-    return united.groupBy("of").agg(F.sum(F.bitmap_count("cards")).alias("n_riders"))
+    return united.groupBy("of").agg(F.sum(F.bit_count("cards")).alias("n_riders"))
 
 
 def _ridden(t: Tables, key: str, grain: str, column: str, *bounds: Column) -> DataFrame:

@@ -48,7 +48,7 @@ DERIVED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "log_rollup": ("travel_time_logs", rollup.log_rollup),
     "load_counts": ("travel_time_logs", rollup.load_counts),
     "trip_rollup": ("trips", rollup.trip_rollup),
-    "rider_bitmaps": ("trips", rollup.rider_bitmaps),
+    "rider_sets": ("trips", rollup.rider_sets),
     "card_counts": ("trips", rollup.card_counts),
 }
 
@@ -166,7 +166,10 @@ def current(spark: SparkSession, base: str) -> Tables:
         return _union(frames)
 
     frames: dict[str, Callable[[], DataFrame]] = {
-        n: partial(whole, n) for n, held in stored.items() if held and n not in DERIVED
+        n: partial(whole, n)
+        for n, held in stored.items()
+        # Older records may name derived tables that are kept in another form now.
+        if held and n not in DERIVED and (n in LAYOUTS or n in DERIVED_LAYOUTS)
     }
     frames |= {n: partial(derived, n) for n, (fact, _) in DERIVED.items() if stored.get(fact)}
     return Tables(**frames)

@@ -71,7 +71,7 @@ TRIP_ROLLUP = (
     "trip_date DATE, route_id BIGINT, hour INT, n BIGINT, "
     "sum_fare DECIMAL(20,2), n_fare BIGINT"
 )
-RIDER_BITMAPS = "grain STRING, trip_date DATE, key BIGINT, bucket BIGINT, cards BINARY"
+RIDER_SETS = "grain STRING, trip_date DATE, key BIGINT, bucket BIGINT, cards BIGINT"
 CARD_COUNTS = "card_id BIGINT, n BIGINT, last_trip DATE"
 STATION_KEYS = "feed_id STRING, station_id BIGINT"
 ROUTE_KEYS = "line_id BIGINT, route_id BIGINT"
@@ -96,7 +96,7 @@ DERIVED_LAYOUTS = {
     "log_rollup": LOG_ROLLUP,
     "load_counts": LOAD_COUNTS,
     "trip_rollup": TRIP_ROLLUP,
-    "rider_bitmaps": RIDER_BITMAPS,
+    "rider_sets": RIDER_SETS,
     "card_counts": CARD_COUNTS,
     "station_keys": STATION_KEYS,
     "route_keys": ROUTE_KEYS,
