@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from conftest import rows
 
-from tramwise.operators import capacity
+from tramwise.operators import capacity, common
 
 AT = datetime(2025, 7, 7, 10, 15)
 LATER = datetime(2025, 7, 7, 11, 0)
@@ -67,6 +67,23 @@ def test_overload(legacy):
     assert exact == {("Route B", AT), ("Route A", LATER)}
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_overload_in_parts_that_follow_the_logs(make, monkeypatch, exact):
+    """Nothing holds the groups of more rows than a part has, and the results are those of one part."""
+    many = range(300)
+    logs = [{"route_id": k % 7, "ts": LATER.replace(second=k % 40), "passenger_count": k} for k in many]
+    booked = [{"booking_id": k, "route_id": k % 5, "ts": LATER.replace(second=k % 30)} for k in many]
+    names = [{"route_id": k, "route_name": f"Route {k % 4}", "max_capacity": 60} for k in range(6)]
+    t = make(transport_routes=names, passenger_logs=[*logs, {}], bookings=[*booked, {}])
+    whole = sorted(map(str, rows(capacity.overloaded_services(t, exact))))
+    monkeypatch.setattr(common, "PART_ROWS", 10)
+    frame = capacity.overloaded_services(t, exact, sort=False)
+    assert frame.rdd.getNumPartitions() == 31
+    assert sorted(map(str, rows(frame))) == whole != []
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3
+
+
 def test_overload_needs_logs(legacy):
     t = legacy.with_(passenger_logs=legacy.passenger_logs.filter("route_id = 9"))
     assert rows(capacity.overloaded_services(t)) == []

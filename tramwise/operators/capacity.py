@@ -18,7 +18,7 @@ from ..functions.labels import booking_message
 from ..functions.order import ordered
 from ..functions.stats import at_least_one, count_rows, or_zero
 from ..sources.tables import Tables
-from .common import equals, only
+from .common import dealt, equals, only
 
 
 def _load(logs: DataFrame, *keys: str) -> DataFrame:
@@ -96,9 +96,13 @@ def overloaded_services(t: Tables, exact: bool = False) -> DataFrame:
     keys = ("route_id", "ts")
     n_bookings = or_zero(F.col("n_bookings"))
     per_log = F.lit(1) if exact else F.col("n_logs")
+    # Services are nearly as many as logs. Both sides have the same parts, for the join.
+    n_rows = max(t.passenger_logs.count(), t.bookings.count())
+    logs = dealt(t.passenger_logs.select(*keys, "passenger_count"), n_rows, *keys)
+    bookings = dealt(t.bookings.select(*keys, "booking_id"), n_rows, *keys)
     demand = (
-        _load(t.passenger_logs, *keys)
-        .join(_booked(t.bookings, *keys), list(keys), "left")
+        _load(logs, *keys)
+        .join(_booked(bookings, *keys), list(keys), "left")
         .select(
             *keys,
             _repeated(F.col("passengers"), n_bookings, exact).alias("passengers"),
@@ -106,9 +110,11 @@ def overloaded_services(t: Tables, exact: bool = False) -> DataFrame:
         )
     )
     total = F.col("passengers") + F.col("bookings")
+    service = ("route_name", "timestamp", "max_capacity")
+    of_routes = demand.join(t.transport_routes, "route_id").withColumnRenamed("ts", "timestamp")
     return (
-        demand.join(t.transport_routes, "route_id")
-        .groupBy("route_name", F.col("ts").alias("timestamp"), "max_capacity")
+        dealt(of_routes.select(*service, "passengers", "bookings"), n_rows, *service)
+        .groupBy(*service)
         .agg(
             F.sum("passengers").alias("passengers"),
             F.sum("bookings").alias("bookings"),
