@@ -1,5 +1,7 @@
 """Language, toxicity and quality: held-out results, folds, odd rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +131,20 @@ def test_ftrl_learns_a_separable_rule():
     right = [(w[ids_] @ x + w[-1] > 0) == y for y, ids_, x in examples]
     assert np.mean(right) == 1.0
     assert (w[8:15] == 0).all()
+
+
+def test_fitting_languages_takes_little_memory_beside_the_vectors():
+    draw = np.random.default_rng(3)
+    x = draw.random((400, 1 << 13), np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    y = draw.integers(0, 5, len(x))
+    tracemalloc.start()
+    try:
+        model = language_id.fit(x, y, list("abcde"), language_id.Coding())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < x.nbytes
+    kernel = (x @ x.T).astype(float) + 1.0
+    alpha = np.linalg.solve(kernel + 0.05 * np.eye(len(x)), model.code[y])
+    assert np.allclose(model.weights, np.vstack([x.T @ alpha, alpha.sum(0)]), atol=1e-6)

@@ -21,6 +21,8 @@ from tramwise.llm.common import char_grams, crc_fold, row_slices, small_batches
 FOLDS = 4
 HELD_OUT_FOLD = 2
 UNKNOWN = "und"
+#: Features that the fit turns to doubles at a time.
+WIDE = 512
 
 
 @dataclass(frozen=True)
@@ -75,13 +77,22 @@ def vectors(texts: list[str], how: Coding) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], how: Coding) -> Model:
     """Bit classifiers by ridge regression, in its dual form as rows are few."""
     code = codewords(len(languages))
-    kernel = (x @ x.T).astype(float) + 1.0
+    kernel = (x @ x.T).astype(float)
+    kernel += 1.0
     target = code[y]
-    alpha = np.linalg.solve(kernel + how.ridge * np.eye(len(x)), target)
-    weights = np.vstack([x.T @ alpha, alpha.sum(0)])
+    ridged = kernel.copy()
+    ridged[np.diag_indices(len(x))] += how.ridge
+    alpha = np.linalg.solve(ridged, target)
+    del ridged
+    weights = np.empty((x.shape[1] + 1, code.shape[1]), np.float32)
+    # In doubles, a slice of the features at a time: all of them would take twice the memory of ``x``.
+    for first in range(0, x.shape[1], WIDE):
+        some = slice(first, min(first + WIDE, x.shape[1]))
+        weights[some] = x[:, some].T.astype(float) @ alpha
+    weights[-1] = alpha.sum(0)
     right = np.sign(kernel @ alpha) == target
     trust = np.array([right[y == k].mean(0) for k in range(len(languages))]) + 1e-3
-    return Model(languages, code, trust / trust.sum(1, keepdims=True), weights.astype(np.float32))
+    return Model(languages, code, trust / trust.sum(1, keepdims=True), weights)
 
 
 def train(rows: DataFrame, how: Coding) -> Model:
@@ -118,9 +129,11 @@ def train(rows: DataFrame, how: Coding) -> Model:
         .collect()
     )
     languages = sorted({r.lang for r in sample})
-    x = np.array([np.frombuffer(r.x, "<f2") for r in sample], np.float32)
     y = np.array([languages.index(r.lang) for r in sample])
-    return fit(x.reshape(len(sample), 1 << how.bits), y, languages, how)
+    x = np.empty((len(sample), 1 << how.bits), np.float32)
+    for row in reversed(range(len(x))):  # each is let go of once it is in the array
+        x[row] = np.frombuffer(sample.pop().x, "<f2")
+    return fit(x, y, languages, how)
 
 
 def decode(margins: np.ndarray, model: Model, how: Coding):
