@@ -30,6 +30,22 @@ def test_substrings_of_missing_and_repeated_ids(spark):
     )
 
 
+@pytest.mark.parametrize("hot", [1, 256])
+def test_substrings_shuffle_windows_of_branches_once(spark, monkeypatch, hot):
+    """Windows are read from the texts once, but for those of crowded minimizers."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    draw = random.Random(5)
+    passages = [[f"p{p}w{k}" for k in range(24)] for p in range(6)]
+    rows = [
+        (n, " ".join([f"n{n}w{k}" for k in range(4)] + draw.choice(passages) + [f"m{n}w{k}" for k in range(4)]))
+        for n in range(60)
+    ]
+    found = substrings.remove_repeats(make_docs(spark, rows))
+    if hot == 1:  # no minimizer has more than all windows; the other pass finishes texts
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert results(found) == brute_substrings(rows, 20)
+
+
 def test_substrings_with_a_hot_minimizer(spark, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", 4)
     rows = [(n, " ".join([f"a{n}"] * (n % 3) + ["same", "words", "all", "over"] * (5 + n % 4))) for n in range(300)]

@@ -25,7 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramwise.llm.common import (
@@ -171,11 +171,12 @@ def compact(found: DataFrame) -> DataFrame:
     paths = shared.groupBy("minimizer", "content").agg(
         F.min(F.struct("doc", "mark", "at")).alias("first"), F.count("*").alias("times")
     )
+    paths = stage(paths, "paths")  # read three times
     branches = paths.groupBy("minimizer").count().where("count > 1").select("minimizer")
     later = ~F.struct("doc", "mark", "at").eqNullSafe(F.col("first"))
     repeated = dealt(paths.where("times > 1"), hot, every=True).hint("merge")
     repeats = dealt(shared, hot).join(repeated, ["minimizer", "content", "salt"]).where(later)
-    heads = paths.join(branches, "minimizer").select("first.doc", "first.mark", "first.at", "minimizer")
+    heads = paths.join(branches.hint("merge"), "minimizer").select("first.doc", "first.mark", "first.at", "minimizer")
     return repeats.select("doc", "mark", "at", F.lit(None).cast("long").alias("minimizer")).unionByName(heads)
 
 
@@ -291,6 +292,51 @@ def branch_windows(waiting: DataFrame, press: TextPress, window: int) -> DataFra
     return waiting.mapInArrow(run, "minimizer long, words long, doc long, mark long, at long")
 
 
+def crowded_minimizers(waiting: DataFrame) -> list[int]:
+    """Minimizers with more than 1/HOT of all windows of branching paths: fewer than HOT."""
+    branch = waiting.select(F.explode("items").alias("i")).where("i.minimizer is not null")
+    after = F.col("i.at").bitwiseAND(31)  # see pack
+    sizes = branch.groupBy("i.minimizer").agg(F.sum(after + 1).alias("windows"))
+    total = sizes.agg(F.sum("windows")).first()[0] or 0
+    return [r.minimizer for r in sizes.where(F.col("windows") > total / HOT).select("minimizer").collect()]
+
+
+def repeated_starts(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
+    """(doc, mark, at) of the windows of branching paths that start earlier as well.
+
+    Windows go through one shuffle, to stand beside their equals. Those of crowded
+    minimizers are counted in part before theirs, and are looked up by a join that may
+    be split.
+    """
+    here = F.struct("doc", "mark", "at")
+
+    def after_first(windows: DataFrame) -> DataFrame:
+        least = F.min(here).over(Window.partitionBy("minimizer", "words"))
+        found = windows.withColumn("first", least)
+        return found.where(~here.eqNullSafe(F.col("first"))).select("doc", "mark", "at")
+
+    def after_joined(windows: DataFrame) -> DataFrame:
+        firsts = (
+            windows.groupBy("minimizer", "words")
+            .agg(F.count("*").alias("times"), F.min(here).alias("first"))
+            .where("times > 1")
+        )
+        joined = windows.join(firsts, ["minimizer", "words"])
+        return joined.where(~here.eqNullSafe(F.col("first"))).select("doc", "mark", "at")
+
+    def of(items) -> DataFrame:
+        some = waiting.select("doc", "mark", "blob", items.alias("items"))
+        return branch_windows(some.where(F.size("items") > 0), press, window)
+
+    # Rows that agree in id and text are one document, so the first of its windows is that of all.
+    hot = crowded_minimizers(waiting)
+    if not hot:
+        return after_first(of(F.col("items")))
+    crowded = F.filter("items", lambda i: i["minimizer"].isin(hot))
+    others = F.filter("items", lambda i: i["minimizer"].isNotNull() & ~i["minimizer"].isin(hot))
+    return after_first(of(others)).unionByName(after_joined(of(crowded)))
+
+
 def finish(waiting: DataFrame, press: TextPress, window: int) -> DataFrame:
     """Results of documents with branches, from their items and ``starts``."""
 
@@ -369,18 +415,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
     pressed = press.press(texts)
     told = stage(close(pressed.join(items, ["doc", "mark"], "left"), press, window), "substrings")
     waiting = told.where("n_removed is null")
-    windows = branch_windows(waiting.select("doc", "mark", "blob", "items"), press, window)
-    firsts = (
-        windows.groupBy("minimizer", "words")
-        .agg(F.count("*").alias("times"), F.min(F.struct("doc", "mark", "at")).alias("first"))
-        .where("times > 1")
-    )
-    # Rows that agree in id and text are one document.
     starts = (
-        windows.join(firsts, ["minimizer", "words"])
-        .where(~F.struct("doc", "mark", "at").eqNullSafe(F.col("first")))
-        .groupBy("doc", "mark")
-        .agg(F.collect_set("at").alias("starts"))
+        repeated_starts(waiting, press, window).groupBy("doc", "mark").agg(F.collect_set("at").alias("starts"))
     )
     final = finish(
         waiting.join(starts, ["doc", "mark"], "left").select("doc_id", "n_words", "blob", "items", "starts"),
