@@ -148,3 +148,24 @@ def test_fitting_languages_takes_little_memory_beside_the_vectors():
     kernel = (x @ x.T).astype(float) + 1.0
     alpha = np.linalg.solve(kernel + 0.05 * np.eye(len(x)), model.code[y])
     assert np.allclose(model.weights, np.vstack([x.T @ alpha, alpha.sum(0)]), atol=1e-6)
+
+
+def test_fitting_languages_holds_one_matrix_of_rows_by_rows():
+    draw = np.random.default_rng(4)
+    x = draw.random((2300, 1 << 9), np.float32)
+    x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float16)
+    y = draw.integers(0, 5, len(x))
+    tracemalloc.start()
+    try:
+        model = language_id.fit(x, y, list("abcde"), language_id.Coding())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 1.75 * 8 * len(x) ** 2
+    wide = x.astype(np.float32)
+    kernel = (wide @ wide.T).astype(float) + 1.0
+    alpha = np.linalg.solve(kernel + 0.05 * np.eye(len(x)), model.code[y])
+    assert np.allclose(model.weights, np.vstack([wide.T @ alpha, alpha.sum(0)]), atol=1e-6)
+    right = np.sign(kernel @ alpha) == model.code[y]
+    trust = np.array([right[y == k].mean(0) for k in range(5)]) + 1e-3
+    assert np.allclose(model.trust, trust / trust.sum(1, keepdims=True))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from tramwise.llm.common import char_grams, crc_fold, row_slices, small_batches
 FOLDS = 4
 HELD_OUT_FOLD = 2
 UNKNOWN = "und"
-#: Features that the fit turns to doubles at a time.
-WIDE = 512
+#: Features that the fit turns to doubles at a time, and rows that it eliminates.
+WIDE, TALL = 512, 128
 
 
 @dataclass(frozen=True)
@@ -74,23 +75,49 @@ def vectors(texts: list[str], how: Coding) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
+def solve(m: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """``m`` to the power of -1 times ``target``: by Cholesky's way, in the place of ``m``.
+
+    Only the lower triangle of ``m`` is read, which is positive definite.
+    """
+    blocks = [slice(a, min(a + TALL, len(m))) for a in range(0, len(m), TALL)]
+    for k in blocks:
+        below = slice(k.stop, len(m))
+        m[k, k] -= m[k, : k.start] @ m[k, : k.start].T
+        m[k, k] = np.linalg.cholesky(m[k, k])
+        m[below, k] -= m[below, : k.start] @ m[k, : k.start].T
+        m[below, k] = np.linalg.solve(m[k, k], m[below, k].T).T
+    found = target.copy()
+    for k in blocks:
+        found[k] = np.linalg.solve(m[k, k], found[k] - m[k, : k.start] @ found[: k.start])
+    for k in reversed(blocks):
+        found[k] = np.linalg.solve(m[k, k].T, found[k] - m[k.stop :, k].T @ found[k.stop :])
+    return found
+
+
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], how: Coding) -> Model:
-    """Bit classifiers by ridge regression, in its dual form as rows are few."""
+    """Bit classifiers by ridge regression, in its dual form as rows are few.
+
+    ``x`` may be of short floats. One matrix of rows by rows in doubles is held at most.
+    """
     code = codewords(len(languages))
-    kernel = (x @ x.T).astype(float)
-    kernel += 1.0
     target = code[y]
-    ridged = kernel.copy()
+    wide = x.astype(np.float32, copy=False)
+    products = wide @ wide.T
+    del wide
+    ridged = products.astype(float)
+    del products
+    ridged += 1.0
     ridged[np.diag_indices(len(x))] += how.ridge
-    alpha = np.linalg.solve(ridged, target)
+    alpha = solve(ridged, target)
     del ridged
     weights = np.empty((x.shape[1] + 1, code.shape[1]), np.float32)
-    # In doubles, a slice of the features at a time: all of them would take twice the memory of ``x``.
+    # In doubles, a slice of the features at a time: all of them would take a multiple of ``x``.
     for first in range(0, x.shape[1], WIDE):
         some = slice(first, min(first + WIDE, x.shape[1]))
         weights[some] = x[:, some].T.astype(float) @ alpha
     weights[-1] = alpha.sum(0)
-    right = np.sign(kernel @ alpha) == target
+    right = np.sign(target - how.ridge * alpha) == target  # the kernel times alpha
     trust = np.array([right[y == k].mean(0) for k in range(len(languages))]) + 1e-3
     return Model(languages, code, trust / trust.sum(1, keepdims=True), weights)
 
@@ -111,10 +138,11 @@ def train(rows: DataFrame, how: Coding) -> Model:
     )
 
     def compute(batches):
+        press = zstandard.ZstdCompressor(level=1)  # most are zeros
         for batch in batches:
             texts = [t.lower() for t in batch.column("text").to_pylist()]
             for a, b in row_slices(texts, rows=64):
-                held = [v.astype("<f2").tobytes() for v in vectors(texts[a:b], how)]
+                held = [press.compress(v.astype("<f2").tobytes()) for v in vectors(texts[a:b], how)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("lang").slice(a, b - a), pa.array(held, pa.binary())],
                     ["doc_id", "lang", "x"],
@@ -130,9 +158,10 @@ def train(rows: DataFrame, how: Coding) -> Model:
     )
     languages = sorted({r.lang for r in sample})
     y = np.array([languages.index(r.lang) for r in sample])
-    x = np.empty((len(sample), 1 << how.bits), np.float32)
+    x = np.empty((len(sample), 1 << how.bits), "<f2")
+    opener = zstandard.ZstdDecompressor()
     for row in reversed(range(len(x))):  # each is let go of once it is in the array
-        x[row] = np.frombuffer(sample.pop().x, "<f2")
+        x[row] = np.frombuffer(opener.decompress(sample.pop().x), "<f2")
     return fit(x, y, languages, how)
 
 
