@@ -138,3 +138,29 @@ def test_odd_rows(odd, no_docs):
     same = {tuple(r) for r in rows if r.doc_id == 1}
     assert len(same) == 2
     assert alignment.align(no_docs).collect() == []
+
+
+def test_different_chunks_are_encoded_together(sides):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        first = f.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        aligner = alignment.Aligner(first, f.read())
+    words = [f"w{i * 7919 % 1000}x{i}" for i in range(3000)]
+    odd = ["", " two  blanks ", "line\n\nline\t end ", "\u00a0\u2003wide \u3000", "it's 'll we 've", "\u2581 lost", "caf\u00e9 \u00e9\u00e8 \U0001f600", "end\n"]
+    texts = [" ".join(words), *odd, *[a + " " + b for a in odd for b in odd]]
+    held = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, held)])
+    calls, encode = [], aligner.fast.encode_ordinary
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return encode(text)
+
+    aligner.fast = Counted()
+    figures, links, digests, *_ = alignment.align_slice(aligner, np.frombuffer(b"".join(held), np.uint8), bounds)
+    assert len(calls) < 100  # 3,000 words
+    wanted = brute(sides, texts)
+    assert [(*f, int(n), d) for *f, n, d in zip(*(f.tolist() for f in figures), links.tolist(), digests)] == [
+        (*w[:4], w[-1]) for w in wanted
+    ]

@@ -8,7 +8,7 @@ logarithm of the longest chain. That token labels the group.
 
 Both tokenizers begin a token wherever a single blank is followed by something that is
 no white space, so a text falls apart into chunks there. Each different chunk of a slice
-is encoded and aligned once; a document adds up its chunks. Links are counted over the
+is encoded and aligned once, all of them together; a document adds up its chunks. Links are counted over the
 corpus by pair of ids, and a document looks its pairs up (see ``frequent``).
 """
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -33,14 +35,13 @@ from tramwise.llm.token_counts import byte_letters
 
 #: Pairs of ids that are broadcast, at most (16 bytes each).
 FREQUENT = 1 << 20
-#: Aligned chunks that a worker remembers, and the longest of them in bytes.
-REMEMBERED, SHORT = 50_000, 64
 #: Chunks above this many bytes are encoded by the vocabulary's own library.
 LONG = 1 << 16
 
 #: May follow a blank that begins no chunk: white space, or the first byte of some.
 _OPEN = np.zeros(256, bool)
 _OPEN[[*range(0x09, 0x0E), 0x20, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_OPEN_BYTES = frozenset(np.flatnonzero(_OPEN).tolist())
 
 
 def chunk_starts(data: np.ndarray) -> np.ndarray:
@@ -80,13 +81,44 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.searchsorted(b, a, "left") - first + 1
 
 
-class Chunk:
-    """One aligned chunk; ``told`` is None where the bytes differ."""
+class Chunks(NamedTuple):
+    """Aligned chunks; one whose bytes differ has zeros, no links, and None as ``told``."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "pairs", "told")
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray  # of all links, chunk by chunk
+    told: list
 
-    def __init__(self, n_a=0, n_b=0, n_groups=0, pairs=np.zeros(0, np.int64), told=None):
-        self.n_a, self.n_b, self.n_groups, self.pairs, self.told = n_a, n_b, n_groups, pairs, told
+
+class Bytes:
+    """The bytes of each id, end to end."""
+
+    def __init__(self, entries: list[bytes]):
+        self.size = np.array([len(e) for e in entries])
+        self.first = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        return self.data[np.repeat(self.first[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def spell(self, ids: np.ndarray, many: np.ndarray, given: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the ids of each chunk, ``many`` of them, are its bytes in ``given``."""
+        ends = np.r_[0, np.cumsum(self.size[ids])][np.r_[0, np.cumsum(many)]]
+        good = np.diff(ends) == sizes
+        other = self.of(ids[np.repeat(good, many)]) != given[np.repeat(good, sizes)]
+        if other.any():
+            places = np.flatnonzero(good)
+            good[places[np.searchsorted(np.cumsum(sizes[good]), np.flatnonzero(other), "right")]] = False
+        return good
+
+
+def _numbers(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists end to end, and how many each has."""
+    many = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(many.sum())), many
 
 
 def _texts(ids: range) -> np.ndarray:
@@ -95,7 +127,7 @@ def _texts(ids: range) -> np.ndarray:
 
 
 class Aligner:
-    """The two vocabularies, and the chunks met lately."""
+    """The two vocabularies."""
 
     def __init__(self, first: str, second: bytes):
         told = json.loads(first)
@@ -108,13 +140,13 @@ class Aligner:
         self.fast = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.other = sentencepiece.SentencePieceProcessor(model_proto=second)
         size = max(vocabulary.values()) + 1
-        self.a = [b""] * size
+        entries = [b""] * size
         for entry, i in vocabulary.items():
-            self.a[i] = entry
-        self.b = [self._piece(i) for i in range(self.other.get_piece_size())]
-        self.a_size, self.b_size = (np.array([len(t) for t in side]) for side in (self.a, self.b))
-        self.a_text, self.b_text = _texts(range(len(self.a))), _texts(range(len(self.b)))
-        self.held: dict[bytes, Chunk] = {}
+            entries[i] = entry
+        self.a = Bytes(entries)
+        self.b = Bytes([self._piece(i) for i in range(self.other.get_piece_size())])
+        self.a_text, self.b_text = _texts(range(size)), _texts(range(len(self.b.size)))
+        self.digits = np.array([len(str(i)) for i in range(max(size, len(self.b.size)))])
 
     def _piece(self, i: int) -> bytes:
         piece = self.other.id_to_piece(i)
@@ -125,42 +157,55 @@ class Aligner:
     def encode(self, chunks: list[bytes]) -> tuple[list, list]:
         """Ids of both sides; every chunk starts with the blank before its text."""
         texts = [c.decode() for c in chunks]
-        a = [
-            self.fast.encode_ordinary(t) if len(c) <= LONG else self.whole.encode(t, add_special_tokens=False).ids
-            for t, c in zip(texts, chunks)
-        ]
-        return a, self.other.encode([t[1:] for t in texts], num_threads=1)
-
-    def chunks(self, wanted: list[bytes]) -> list[Chunk]:
-        """The aligned form of each of the different chunks."""
-        found = [self.held.get(c) for c in wanted]
-        new = [i for i, f in enumerate(found) if f is None]
-        if new:
-            if len(self.held) + len(new) > REMEMBERED:
-                self.held.clear()
-            for i, chunk in zip(new, self.align([wanted[i] for i in new])):
-                found[i] = chunk
-                if len(wanted[i]) <= SHORT and len(self.held) < REMEMBERED:
-                    self.held[wanted[i]] = chunk
-        return found
-
-    def align(self, chunks: list[bytes]) -> list[Chunk]:
-        a, b = self.encode(chunks)
-        good = [
-            b"".join(map(self.a.__getitem__, x)) == c and b"".join(map(self.b.__getitem__, y)) == c
-            for x, y, c in zip(a, b, chunks)
-        ]
-        made = [Chunk() for _ in chunks]
-        kept = [i for i, ok in enumerate(good) if ok]
-        if not kept:
-            return made
-        n_a, n_b = (np.array([len(side[i]) for i in kept]) for side in (a, b))
-        a_ids, b_ids = (np.concatenate([side[i] for i in kept]).astype(np.int64) for side in (a, b))
-        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        return [self.encode_first(c) for c in chunks], self.other.encode([t[1:] for t in texts], num_threads=1)
+
+    def encode_first(self, chunk: bytes) -> list[int]:
+        if len(chunk) <= LONG:
+            return self.fast.encode_ordinary(chunk.decode())
+        return self.whole.encode(chunk.decode(), add_special_tokens=False).ids
+
+    def first_ids(self, chunks: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the first side end to end, and how many each chunk has.
+
+        Chunks that fall apart again (see ``chunk_starts``) are encoded as one text.
+        """
+        alike = np.array([len(c) > 1 and c[1] not in _OPEN_BYTES and c[-1] != 0x20 for c in chunks]) & (sizes <= LONG)
+        ids = np.array(self.fast.encode_ordinary(b"".join(c for c, one in zip(chunks, alike) if one).decode()), np.int64)
+        ends, cuts = np.cumsum(self.a.size[ids]), np.cumsum(sizes[alike])
+        last = np.searchsorted(ends, cuts)
+        if not np.array_equal(ends[last], cuts):  # a token crosses chunks
+            return _numbers([self.encode_first(c) for c in chunks])
+        if alike.all():
+            return ids, np.diff(last, prepend=-1)
+        others, number = _numbers([self.encode_first(c) for c, one in zip(chunks, alike) if not one])
+        many, first = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        many[alike], many[~alike] = np.diff(last, prepend=-1), number
+        for some, begin in ((alike, 0), (~alike, len(ids))):
+            first[some] = begin + np.cumsum(many[some]) - many[some]
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.concatenate([ids, others])[at], many
+
+    def align(self, chunks: list[bytes]) -> Chunks:
+        """The aligned form of each of the chunks."""
+        if not chunks:
+            none = np.zeros(0, np.int64)
+            return Chunks(none, none, none, none, none, [])
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        given = np.frombuffer(b"".join(chunks), np.uint8)
+        a_ids, n_a = self.first_ids(chunks, sizes)
+        b_ids, n_b = _numbers(self.other.encode([c[1:].decode() for c in chunks], num_threads=1))
+        good = self.a.spell(a_ids, n_a, given, sizes) & self.b.spell(b_ids, n_b, given, sizes)
+        a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
+        n_a, n_b = n_a * good, n_b * good
+        n_groups, n_links = np.zeros_like(n_a), np.zeros_like(n_a)
+        told: list = [None] * len(chunks)
+        if not len(a_ids):
+            return Chunks(n_a, n_b, n_groups, n_links, np.zeros(0, np.int64), told)
+        a_end, b_end = np.cumsum(self.a.size[a_ids]), np.cumsum(self.b.size[b_ids])
         a_label, b_label = components(a_end, b_end)
         first, links = overlaps(a_end, b_end)
         where = np.repeat(first - (np.cumsum(links) - links), links) + np.arange(links.sum())
-        pairs = np.repeat(a_ids, links) * len(self.b) + b_ids[where]
+        pairs = np.repeat(a_ids, links) * len(self.b.size) + b_ids[where]
 
         # Group by group, first the one side's ids and then the other's.
         n = len(a_ids)
@@ -170,28 +215,21 @@ class Aligner:
         kind = np.full(len(key), 3)
         kind[:-1][key[1:] == key[:-1]] = 1
         kind[:-1][(key[1:] == key[:-1] + 1) & (key[:-1] % 2 == 0)] = 2
-        a_last, b_last = np.cumsum(n_a), np.cumsum(n_b)
+        a_last, b_last = np.cumsum(n_a[good]), np.cumsum(n_b[good])
         ends = a_last + b_last
         kind[ends - 1] = 0  # a group never crosses chunks
         from_a = order < n
         texts = np.empty(len(order), object)
         texts[from_a] = self.a_text[kind[from_a], a_ids[order[from_a]]]
         texts[~from_a] = self.b_text[kind[~from_a], b_ids[order[~from_a] - n]]
-        texts = texts.tolist()
-
-        pair_ends = np.cumsum(links)[a_last - 1]
-        group_ends = a_label[a_last - 1] + 1
-        begin = pair_begin = group_begin = 0
-        for k, i in enumerate(kept):
-            made[i] = Chunk(
-                int(n_a[k]),
-                int(n_b[k]),
-                int(group_ends[k] - group_begin),
-                pairs[pair_begin : pair_ends[k]].copy(),
-                b"".join(texts[begin : ends[k]]),
-            )
-            begin, pair_begin, group_begin = ends[k], pair_ends[k], group_ends[k]
-        return made
+        joined = b"".join(texts.tolist())
+        numbers = np.concatenate([a_ids, b_ids])[order]
+        cuts = np.cumsum(self.digits[numbers] + (kind > 0))[ends - 1].tolist()
+        for i, begin, end in zip(np.flatnonzero(good).tolist(), [0, *cuts], cuts):
+            told[i] = joined[begin:end]
+        n_groups[good] = np.diff(a_label[a_last - 1], prepend=-1)
+        n_links[good] = np.diff(np.cumsum(links)[a_last - 1], prepend=0)
+        return Chunks(n_a, n_b, n_groups, n_links, pairs, told)
 
 
 @lru_cache(maxsize=2)
@@ -218,34 +256,32 @@ def align_slice(aligner: Aligner, data: np.ndarray, bounds: np.ndarray):
     starts, ends, row = starts[alive], ends[alive], row[alive]
     _, where, which = np.unique(span_hashes(spaced, starts, ends), return_index=True, return_inverse=True)
     held = spaced.tobytes()
-    found = aligner.chunks([held[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())])
+    found = aligner.align([held[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())])
 
-    told = np.array([f.told is not None for f in found], bool)
+    told = found.n_a > 0
     bad = np.zeros(rows, bool)
     bad[row[~told[which]]] = True
     bad |= sizes == 0
     figures = []
-    for name in ("n_a", "n_b", "n_groups"):
-        each = np.array([getattr(f, name) for f in found], np.int64)
+    for each in (found.n_a, found.n_b, found.n_groups):
         total = np.bincount(row, each[which], rows).astype(np.int64) if len(row) else np.zeros(rows, np.int64)
         figures.append(np.where(bad, 0, total))
     cut = np.searchsorted(row, np.arange(rows + 1))
     digests = []
     for r in range(rows):
         own = which[cut[r] : cut[r + 1]].tolist()
-        text = b";".join([found[u].told for u in own]) if not bad[r] else None
+        text = b";".join([found.told[u] for u in own]) if not bad[r] else None
         digests.append("" if text is None else hashlib.sha256(text).hexdigest())
 
     keep = ~bad[row] if len(row) else np.zeros(0, bool)
     row, which = row[keep], which[keep]
-    number = np.array([len(f.pairs) for f in found], np.int64)
-    flat = np.concatenate([f.pairs for f in found]) if found else np.zeros(0, np.int64)
+    number, flat = found.n_links, found.pairs
     first = np.cumsum(number) - number
     each = number[which] if len(which) else np.zeros(0, np.int64)
     at = np.repeat(first[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
     owner = np.repeat(row, each)
     links = np.bincount(owner, minlength=rows).astype(np.int64)
-    wide = len(aligner.a) * len(aligner.b)
+    wide = len(aligner.a.size) * len(aligner.b.size)
     keys, times = np.unique(owner * wide + flat[at], return_counts=True)
     return figures, links, digests, keys // wide, keys % wide, times
 
