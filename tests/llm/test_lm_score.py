@@ -259,3 +259,56 @@ def test_counted_shares_leave_the_rest_to_the_model(spark):
     assert keys[1] == keys[5] != keys[3] and before[0] != before[1]
     found = lm_score.score_texts(docs).collect()
     assert all(math.isfinite(r.score) for r in found)
+
+
+def test_rare_continuations_count_as_frequent_ones(small, odd):
+    """What is joined gives the score of what is broadcast, and not that of the model alone."""
+    for docs, frequent in ((small("documents"), 100), (odd, 0)):
+        whole, some = (lm_score.score_texts(docs, frequent=n).collect() for n in (lm_score.FREQUENT, frequent))
+        key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.base_score, r.score)
+        assert [r.score for r in sorted(some, key=key)] == pytest.approx([r.score for r in sorted(whole, key=key)], rel=1e-6)
+
+
+@pytest.mark.parametrize("frequent", [lm_score.FREQUENT, 3, 0])
+def test_scores_as_brute_force_from_counts(spark, frequent):
+    """Shares by counted dictionaries, with held-out texts that go on as no training text does."""
+    draw = np.random.default_rng(12)
+    opens = np.arange(12) < 5
+    texts = [draw.integers(0, 12, n).astype(np.int32) for n in draw.integers(0, 12, 60)]
+    rows = [(i, i, i % 3 > 0, i % 3 == 0, 0, 0, 0.0, [], [], t.tobytes()) for i, t in enumerate(texts)]
+    told = spark.createDataFrame(rows, lm_score.TOKENS)
+
+    def places(ids):
+        word = ()
+        for i, own in enumerate(ids.tolist()):
+            word = () if i == 0 or opens[own] else word
+            yield word, own
+            word += (own,)
+
+    counts, whole, different = Counter(), Counter(), Counter()
+    for i, ids in enumerate(texts):
+        if i % 3:
+            counts.update(places(ids))
+    for (word, _), n in counts.items():
+        whole[word] += n
+        different[word] += 1
+    model = lm_score.initial_model(told, 12, Shape())
+    starts, held = (spark.sparkContext.broadcast(x) for x in (opens, model))
+    shares, others = lm_score.counted_shares(told, starts, frequent)
+    assert shares.others == (frequent < len(counts))
+    found = lm_score.scored(told, held, starts, spark.sparkContext.broadcast(shares))
+    gain = Counter()
+    for r in lm_score.gains(found, others).collect():
+        gain[r.row] += r.gain
+    lacking = 0
+    for r in found.collect():
+        ids = texts[r.row]
+        logs = attention.logs(model, ids, np.array([len(ids)]))
+        expected = 0.0
+        for (word, own), log in zip(places(ids), logs):
+            n, w = counts[word, own], whole[word]
+            lacking += w > 0 and n == 0
+            share, rest = ((n - 0.8) / w if n else 0, 0.8 * different[word] / w) if w else (0, 1)
+            expected += math.log10(share + rest * math.exp(log))
+        assert r.score + gain[r.row] == pytest.approx(expected, rel=1e-9, abs=1e-9)
+    assert lacking > 5
