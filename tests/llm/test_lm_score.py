@@ -166,6 +166,23 @@ def test_gradients_as_differences(model):
             assert g[at] == pytest.approx((up - down) / (2 * step), abs=2e-2, rel=2e-2), name
 
 
+def test_weights_step_together_as_each_alone(model):
+    draw = np.random.default_rng(9)
+    before = {name: w.copy() for name, w in model.weights.items()}
+    learner = attention.Learner(model)
+    past = {name: np.full(w.shape, 1e-4) for name, w in before.items()}
+    for _ in range(3):
+        last, target = draw.integers(0, 20, (2, 4, 6))
+        _, tokens, found = model.gradients(draw.integers(0, 20, (4, 6)), last, target, draw.random((4, 6)) < 0.8)
+        for name, g in found.items():
+            rows, g = g if isinstance(g, tuple) else (slice(None), g)
+            past[name][rows] += (g / tokens) ** 2
+            before[name][rows] += 0.1 * g / tokens / past[name][rows] ** 0.5
+        learner.step(found, tokens, 0.1)
+    for name, w in model.weights.items():
+        assert np.allclose(w, before[name], atol=1e-5), name
+
+
 @pytest.mark.parametrize("length", [1, 40])
 def test_small_classes_are_computed_together(length):
     """Fewer products than classes, and the logs that a softmax over each class alone gives."""
